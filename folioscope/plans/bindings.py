@@ -269,8 +269,8 @@ def section_previews(spark, sf):
 def split_references(spark, sf):
     """A numbered reference list per order, written from its lines, split again."""
     entry = F.concat(
-        F.lit("["), F.col("l_linenumber").cast("string"), F.lit("] Part "),
-        F.col("l_partkey").cast("string"), F.lit(" from supplier "), F.col("l_suppkey").cast("string"),
+        F.lit("["), F.col("l_linenumber").cast("string"), F.lit("] Part P"),
+        F.col("l_partkey").cast("string"), F.lit(" from supplier S"), F.col("l_suppkey").cast("string"),
         F.lit(". "), F.year("l_shipdate").cast("string"), F.lit("."),
     )
     lists = (

@@ -299,8 +299,8 @@ SELECT paper_id, page_no, line_no, line, 'sentence' AS section_type FROM typed W
     "section_previews": """
 SELECT doc_id AS paper_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || '…' ELSE text END AS preview FROM documents""",
     "split_references": """
-SELECT l_orderkey AS paper_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'Part ' || l_partkey || ' from supplier ' || l_suppkey || '. ' || year(l_shipdate) || '.') - 1 AS order_index,
-       'Part ' || l_partkey || ' from supplier ' || l_suppkey || '. ' || year(l_shipdate) || '.' AS raw_text,
+SELECT l_orderkey AS paper_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'Part P' || l_partkey || ' from supplier S' || l_suppkey || '. ' || year(l_shipdate) || '.') - 1 AS order_index,
+       'Part P' || l_partkey || ' from supplier S' || l_suppkey || '. ' || year(l_shipdate) || '.' AS raw_text,
        CAST(year(l_shipdate) AS INTEGER) AS parsed_year
 FROM lineitem""",
     "assemble_turns": """
