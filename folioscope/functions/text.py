@@ -21,8 +21,18 @@ STOPWORDS = (
 ).split()
 
 
+# The same characters as one string, for trimming without a regex.
+WS_CHARS = "".join(
+    map(
+        chr,
+        [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+         0x2028, 0x2029, 0x202F, 0x205F, 0x3000],
+    )
+)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def clean_text(c: Column) -> Column:
@@ -36,8 +46,8 @@ def name_key(c: Column) -> Column:
 
 
 def normalize_title(c: Column) -> Column:
-    spaced = F.regexp_replace(F.lower(c), rf"[^a-z0-9{WS[1:]}", " ")
-    return F.trim(F.regexp_replace(spaced, rf"{WS}+", " "))
+    """Lower case, everything but [a-z0-9] to single blanks, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
 def tokenize(c: Column, stopwords: list[str] = STOPWORDS) -> Column:

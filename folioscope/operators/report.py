@@ -92,16 +92,11 @@ def review_lines(query: str, knowledge: DataFrame) -> DataFrame:
     methods, 2 datasets, 3 papers. Names sort by ``item_key``; no global
     numbering is needed, so no step sees all lines at once.
     """
-    def head(block: int, texts: list, where: DataFrame | None = None) -> DataFrame:
-        return (total if where is None else where).select(
-            F.lit(block).alias("block"),
-            F.lit(-1).cast("bigint").alias("ord"),
-            F.lit("").alias("item_key"),
-            F.posexplode(F.array(*texts)).alias("item", "line"),
-        )
-
-    total = knowledge.agg(F.count(F.lit(1)).alias("n"))
-    some = F.col("n") > 0
+    total = knowledge.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.size(or_empty(F.col("methods"))) > 0).alias("with_methods"),
+        F.count_if(F.size(or_empty(F.col("datasets"))) > 0).alias("with_datasets"),
+    )
     counted = F.concat(
         F.lit("This review covers "), F.col("n").cast("string"),
         F.lit(f' paper(s) discovered and analyzed for the query "{query}".'),
@@ -110,25 +105,39 @@ def review_lines(query: str, knowledge: DataFrame) -> DataFrame:
         "No papers were successfully ingested and extracted for this query, "
         "so no review could be generated."
     )
-    title = F.lit(f"# Literature Review: {query}")
-    out = head(0, [title, F.lit(""), F.when(some, counted).otherwise(nothing)])
-    for block, column, heading in ((1, "methods", "## Methods Identified"), (2, "datasets", "## Datasets Used")):
-        names = knowledge.select(F.explode(column).alias("name")).distinct()
-        listed = names.select(
-            F.lit(block).alias("block"),
-            F.lit(0).cast("bigint").alias("ord"),
-            F.col("name").alias("item_key"),
-            F.lit(0).alias("item"),
-            F.concat(F.lit("- "), F.col("name")).alias("line"),
-        )
-        holders = F.count_if(F.size(or_empty(F.col(column))) > 0)
-        any_name = knowledge.agg(holders.alias("n")).where(some)
-        out = out.unionByName(head(block, [F.lit(""), F.lit(heading)], any_name)).unionByName(listed)
-    return (
-        out.unionByName(head(3, [F.lit(""), F.lit("## Per-Paper Summary")], total.where(some)))
-        .unionByName(_paper_lines(knowledge))
-        .select("block", "ord", "item_key", "item", "line")
+
+    def fixed(block: int, *lines) -> list:
+        return [
+            F.struct(F.lit(block).alias("block"), F.lit(i).alias("item"), line.alias("line"))
+            for i, line in enumerate(lines)
+        ]
+
+    def captioned(when, block: int, heading: str):
+        return F.when(when, F.array(*fixed(block, F.lit(""), F.lit(heading)))).otherwise(F.array())
+
+    some = F.col("n") > 0
+    captions = F.concat(
+        F.array(
+            *fixed(0, F.lit(f"# Literature Review: {query}"), F.lit(""), F.when(some, counted).otherwise(nothing))
+        ),
+        captioned(F.col("with_methods") > 0, 1, "## Methods Identified"),
+        captioned(F.col("with_datasets") > 0, 2, "## Datasets Used"),
+        captioned(some, 3, "## Per-Paper Summary"),
+    )
+    head = total.select(F.explode(captions).alias("c")).select(
+        F.col("c.block").alias("block"), F.lit(-1).cast("bigint").alias("ord"),
+        F.lit("").alias("item_key"), F.col("c.item").alias("item"), F.col("c.line").alias("line"),
+    )
+    tagged = F.concat(
+        F.transform(or_empty(F.col("methods")), lambda m: F.struct(F.lit(1).alias("block"), m.alias("name"))),
+        F.transform(or_empty(F.col("datasets")), lambda d: F.struct(F.lit(2).alias("block"), d.alias("name"))),
+    )
+    names = knowledge.select(F.explode(tagged).alias("t")).select("t.block", "t.name").distinct()
+    listed = names.select(
+        "block", F.lit(0).cast("bigint").alias("ord"), F.col("name").alias("item_key"),
+        F.lit(0).alias("item"), F.concat(F.lit("- "), F.col("name")).alias("line"),
     )
+    return head.unionByName(listed).unionByName(_paper_lines(knowledge))
 
 
 def _paper_lines(knowledge: DataFrame) -> DataFrame:

@@ -68,28 +68,22 @@ def _page_pieces(pages: DataFrame, headings: list[tuple[str, str]], max_len: int
         "starts",
         F.array_compact(F.transform("types", lambda t, i: F.when(t.isNotNull(), i + 1))),
     )
-    piece = F.transform(
-        F.sequence(F.lit(0), F.size("starts")),
-        lambda j: F.struct(
+    def piece(j: Column) -> Column:
+        at = F.get("starts", j - 1)
+        begin = F.coalesce(at, F.lit(0)) + 1
+        count = F.coalesce(F.get("starts", j), F.size("lines") + 1) - begin
+        return F.struct(
             j.alias("piece"),
-            F.get("starts", j - 1).alias("at"),
-            (F.coalesce(F.get("starts", j), F.size("lines") + 1)).alias("stop"),
-        ),
-    )
-    at, stop = F.col("p.at"), F.col("p.stop")
-    begin = F.coalesce(at, F.lit(0)) + 1
-    return (
-        marked.withColumn("p", F.explode(piece))
-        .select(
-            "paper_id",
-            "page_no",
-            F.col("p.piece").alias("piece"),
             strip(F.get("lines", at - 1)).alias("heading"),
             F.get("types", at - 1).alias("section_type"),
-            F.slice("lines", begin, F.greatest(stop - begin, F.lit(0))).alias("body"),
+            (count > 0).alias("has_text"),
+            F.array_join(F.slice("lines", begin, F.greatest(count, F.lit(0))), "\n").alias("body"),
         )
-        .withColumn("has_text", F.size("body") > 0)
-        .withColumn("body", F.array_join("body", "\n"))
+
+    # the page's lines end here: only the pieces leave the explode
+    pieces = F.transform(F.sequence(F.lit(0), F.size("starts")), piece)
+    return marked.select("paper_id", "page_no", F.explode(pieces).alias("p")).select(
+        "paper_id", "page_no", "p.*"
     )
 
 

@@ -717,7 +717,7 @@ def _event_responses(spark, sf):
         F.lit('"}, {"name": ""}], "claims": [{"description": ""}, {"description": "value '), k,
         F.lit('"}]}\n```'),
     )
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events"), "event_id").select(
         F.col("event_id").alias("paper_id"),
         F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("title"),
         F.col("event_id").alias("paper_ord"),

@@ -20,15 +20,17 @@ def response_body(raw: Column) -> Column:
     return F.when(text.startswith("```"), strip(inner)).otherwise(text)
 
 
-def is_object(body: Column) -> Column:
-    return F.coalesce(
-        F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False)
-    )
+def _object(raw: Column) -> Column:
+    """The parsed body with ``_bad`` set where it is no JSON object."""
+    body = response_body(raw)
+    safe = F.when(body.startswith("{"), body).otherwise("{")
+    return F.from_json(safe, f"{RESPONSE}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
 
 
 def parsed_papers(responses: DataFrame) -> DataFrame:
     """Papers whose response is a JSON object."""
-    return responses.where(is_object(response_body(F.col("response")))).select("paper_id").distinct()
+    ok = _object(F.col("response"))["_bad"].isNull()
+    return responses.where(ok).select("paper_id").distinct()
 
 
 def parse_responses(responses: DataFrame, strict: bool = False) -> DataFrame:
@@ -36,19 +38,13 @@ def parse_responses(responses: DataFrame, strict: bool = False) -> DataFrame:
     the heuristic extraction. Items without a name (claims: description) are
     skipped; claims keep the number of their place in the list. A response that
     is no JSON object gives no rows, or with ``strict`` fails the job."""
-    bodies = responses.select(
-        "paper_id", "title", "paper_ord", response_body(F.col("response")).alias("body")
-    )
+    parsed = responses.select("paper_id", "title", "paper_ord", _object(F.col("response")).alias("r"))
+    # a body that did not parse has no lists, so it explodes to nothing
+    good = F.col("r._bad").isNull()
     if strict:
-        bodies = bodies.withColumn(
-            "body",
-            F.when(is_object(F.col("body")), F.col("body")).otherwise(
-                F.raise_error(F.lit("extraction response is not a JSON object"))
-            ),
+        good = F.when(good, True).otherwise(
+            F.raise_error(F.lit("extraction response is not a JSON object")).cast("boolean")
         )
-    else:
-        bodies = bodies.where(is_object(F.col("body")))
-    parsed = bodies.withColumn("r", F.from_json("body", RESPONSE))
     empty = F.array().cast(
         "array<struct<entity_type:string,relationship_type:string,name:string,description:string,evidence:string>>"
     )
@@ -57,7 +53,7 @@ def parse_responses(responses: DataFrame, strict: bool = False) -> DataFrame:
         text = lambda x: x["description"] if field == "methods" else F.lit(None).cast("string")
         return F.coalesce(
             F.transform(
-                f"r.{field}",
+                F.when(good, F.col(f"r.{field}")),
                 lambda x: F.struct(
                     F.lit(kind).alias("entity_type"),
                     F.lit(edge).alias("relationship_type"),
@@ -71,7 +67,7 @@ def parse_responses(responses: DataFrame, strict: bool = False) -> DataFrame:
 
     claims = F.coalesce(
         F.transform(
-            "r.claims",
+            F.when(good, F.col("r.claims")),
             lambda c, i: F.struct(
                 F.lit("claim").alias("entity_type"),
                 F.lit("mentions").alias("relationship_type"),
