@@ -139,13 +139,14 @@ def paper_subgraph(
     )
     seeds = sourced.unionByName(known_own).distinct()
     edge_cols = ["source_entity_id", "target_entity_id", "relationship_type", "evidence"]
-    by_source = relationships.join(
+    links = relationships.drop("paper_id")
+    by_source = links.join(
         seeds.withColumnRenamed("entity_id", "source_entity_id"), "source_entity_id"
     )
-    by_target = relationships.join(
+    by_target = links.join(
         seeds.withColumnRenamed("entity_id", "target_entity_id"), "target_entity_id"
     )
-    keep = ["paper_id", *[c for c in relationships.columns if c != "paper_id"]]
+    keep = ["paper_id", *links.columns]
     edges = by_source.select(*keep).unionByName(by_target.select(*keep)).distinct()
     wanted = seeds
     if not strict:

@@ -11,6 +11,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folioscope.session import settle
+
 # Share of words that makes names similar, cost per similar name.
 MIN_OVERLAP, PENALTY = 0.5, 0.3
 
@@ -111,13 +113,13 @@ def novelty(
     A word in a third of all names thus never yields pairs.
     """
     enough = math.ceil(1.0 / penalty) if penalty > 0 else 1 << 31
-    entries = (
+    entries = settle(
         paper_concepts.where(F.col("kind") == "method")
         .groupBy("paper_title", F.col("concept").alias("method"))
         .agg(F.count(F.lit(1)).alias("mentions"))
         .withColumn("words", words(F.col("method")))
     )
-    sets = (
+    sets = settle(
         entries.where(F.size("words") > 0)
         .groupBy("words")
         .agg(F.sum("mentions").alias("weight"))

@@ -19,6 +19,7 @@ from folioscope.operators import (
     structure,
 )
 from folioscope.plans.oracle import CUES, METRIC_WORDS, NAME_WORD, NUMBER, PHRASE, WORDS
+from folioscope.session import settle
 from folioscope.sources import catalog, feeds, responses
 from folioscope.sources.tables import spread, table
 from folioscope.streaming import admission, requests
@@ -326,9 +327,10 @@ def bm25_batch_topk(spark, sf):
 
 
 def rrf_fusion(spark, sf):
-    docs, queries = doc_texts(spark, sf), benchmark_queries(spark, sf)
+    queries = benchmark_queries(spark, sf)
+    index = retrieval.restricted_index(doc_texts(spark, sf), queries)
     lists = [
-        retrieval.bm25_over_documents(docs, queries, k1=k1, b=b).withColumn("list_id", F.lit(i))
+        retrieval.bm25_search(index, queries, k1=k1, b=b).withColumn("list_id", F.lit(i))
         for i, (k1, b) in enumerate([(1.5, 0.75), (1.2, 0.3)])
     ]
     return retrieval.rrf(lists[0].unionByName(lists[1]), by=["query_id"]).select(
@@ -563,14 +565,14 @@ def low_novelty(spark, sf):
 
 
 def impact_score(spark, sf):
-    knowledge = order_knowledge(spark, sf)
+    knowledge = settle(order_knowledge(spark, sf))
     return overlap.impact(
         analysis.paper_concepts(knowledge), knowledge.select("paper_id", "paper_title")
     )
 
 
 def paper_analysis(spark, sf):
-    return analysis.paper_analysis(order_knowledge(spark, sf)).withColumn(
+    return analysis.paper_analysis(settle(order_knowledge(spark, sf))).withColumn(
         "key_contributions", F.array_join("key_contributions", ",")
     )
 
@@ -622,12 +624,12 @@ def knowledge_summary(spark, sf):
 
 
 def review_lines(spark, sf):
-    knowledge = order_knowledge(spark, sf).drop("parts", "o_orderpriority")
+    knowledge = settle(order_knowledge(spark, sf).drop("parts", "o_orderpriority"))
     return report.review_lines("orders", knowledge)
 
 
 def run_totals(spark, sf):
-    knowledge = order_knowledge(spark, sf)
+    knowledge = settle(order_knowledge(spark, sf))
     return report.run_totals(
         discovered=knowledge,
         entities=analysis.paper_concepts(knowledge),

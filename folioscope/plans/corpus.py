@@ -1,8 +1,8 @@
 """The whole corpus run: pages to facts to graph to analyses.
 
-Stages are lazy DataFrames. The tables that many later steps read are written to
-Parquet once where ``workdir`` is given (a folder all executors share), so a lost
-executor re-reads a file and analyses do not repeat the text work.
+The tables that many later steps read are written to Parquet in ``workdir`` (a
+folder all executors share), so a lost executor re-reads a file and the analyses
+do not repeat the text work. Everything after ``knowledge`` is lazy.
 """
 
 from __future__ import annotations
@@ -31,17 +31,15 @@ def run_corpus(
     spark: SparkSession,
     papers: DataFrame,
     pages: DataFrame,
+    workdir: str,
     query: str = "",
     responses: DataFrame | None = None,
-    workdir: str | None = None,
     **extraction_options,
 ) -> dict[str, DataFrame]:
     """papers: (paper_id, title, abstract, published_at, ord); pages: (paper_id,
     page_no, text); responses: (paper_id, response). Returns every stage by name."""
 
     def kept(name: str, df: DataFrame) -> DataFrame:
-        if workdir is None:
-            return df
         path = f"{workdir}/{name}"
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)

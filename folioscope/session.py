@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -12,6 +13,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
@@ -44,3 +46,15 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     if chosen and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(os.fspath(chosen))
     return chosen
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table that several later steps read once, into the shared
+    checkpoint folder. A lost executor then re-reads files instead of the whole
+    chain before it, and plans stay short. In local mode without a named folder
+    a temporary one is set; on a cluster without one the table stays lazy."""
+    spark = df.sparkSession
+    local = spark.sparkContext.master.startswith("local")
+    if checkpoint_dir(spark) is None and local:
+        checkpoint_dir(spark, tempfile.mkdtemp(prefix="folioscope-"))
+    return df.checkpoint() if checkpoint_dir(spark) else df
