@@ -8,14 +8,19 @@ fold itself runs in Python over Arrow batches. Spark partitions and sorts.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioscope.operators.ordering import running_total
 
+# Python workers get the fold itself, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Events of one key are sorted together only within a slice of this length.
 SLICE_SECONDS = 3600
 
