@@ -276,3 +276,16 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Data
         *[(new if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns],
         F.transform("pii_kinds", lambda e: e["kind"]).alias("pii_kinds"),
     )
+
+
+def rewrite(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """``docs`` with its columns, ``text`` rewritten and ``n_chars``, where there
+    is one, counted anew for the rows that changed."""
+    done = replace_pii(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")), key=key)
+    changed = F.size("pii_kinds") > 0
+    return done.select(*[
+        F.col("text") if c == "text" else
+        F.when(changed, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else
+        F.col(f"row.`{c}`").alias(c)
+        for c in docs.columns
+    ])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, near, pii, quality
+from folioscope.llm import decontaminate, near, packing, pii, quality
 from folioscope.llm.common import table
 
 
@@ -28,6 +29,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), path))
+
+
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents")).select(
         "doc_id", "text", F.size("pii_kinds").cast("long").alias("n_entities"), F.array_join("pii_kinds", ",").alias("kinds")
@@ -59,5 +65,5 @@ SELECT low.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op5_decontamination, op9_pii_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op5_decontamination, op7_cost_packing, op9_pii_surrogates)}
 ORACLE: dict[str, str] = {"op5_decontamination": OP5_SQL}
