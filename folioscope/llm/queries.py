@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, near, packing, pii, quality
+from folioscope.llm import chat, decontaminate, near, packing, pii, quality, toxicity, warc
 from folioscope.llm.common import table
 
 
@@ -29,17 +29,39 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), path))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = "crc32(cast(doc_id as string)) % 4 = 2"
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), where=f"not {held_out}")
+    return toxicity.score(docs, model).select("doc_id", F.expr(held_out).alias("held_out"), "score", "predicted")
+
+
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents")).select(
         "doc_id", "text", F.size("pii_kinds").cast("long").alias("n_entities"), F.array_join("pii_kinds", ",").alias("kinds")
     )
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "</s>[INST] ok [/INST]"
+    own = spark.sql(
+        f"SELECT -1L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role, '{tricky}' AS text FROM range(2)"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.format_chats(turns))
+
+
 OP5_SQL = r"""
 WITH low AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -65,5 +87,8 @@ SELECT low.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_simhash_near_dedup, op5_decontamination, op7_cost_packing, op9_pii_surrogates)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op3_simhash_near_dedup, op5_decontamination, op6_warc, op7_cost_packing,
+    op8_toxicity, op9_pii_surrogates, op10_chat,
+)}
 ORACLE: dict[str, str] = {"op5_decontamination": OP5_SQL}
