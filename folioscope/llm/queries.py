@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, decontaminate, near, packing, pii, quality, toxicity, warc
+from folioscope.llm import chat, decontaminate, near, packing, pii, quality, suffix, toxicity, warc
 from folioscope.llm.common import table
 
 
@@ -21,6 +21,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -88,7 +95,7 @@ FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_simhash_near_dedup, op5_decontamination, op6_warc, op7_cost_packing,
+    op1_quality_rules, op3_simhash_near_dedup, op4_suffix_dedup, op5_decontamination, op6_warc, op7_cost_packing,
     op8_toxicity, op9_pii_surrogates, op10_chat,
 )}
 ORACLE: dict[str, str] = {"op5_decontamination": OP5_SQL}
