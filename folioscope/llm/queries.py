@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat, decontaminate, near, packing, pii, quality, suffix, toxicity, warc
+from folioscope.llm import chat, decontaminate, language_model, near, packing, pii, quality, suffix, toxicity, warc
 from folioscope.llm.common import table
 
 
@@ -17,6 +17,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = "crc32(cast(doc_id as string)) % 7 = 2"
+    return language_model.score_corpus(table(spark, sf_dir, "documents"), held_out).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -95,7 +102,7 @@ FROM low LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_simhash_near_dedup, op4_suffix_dedup, op5_decontamination, op6_warc, op7_cost_packing,
+    op1_quality_rules, op2_lm_scores, op3_simhash_near_dedup, op4_suffix_dedup, op5_decontamination, op6_warc, op7_cost_packing,
     op8_toxicity, op9_pii_surrogates, op10_chat,
 )}
 ORACLE: dict[str, str] = {"op5_decontamination": OP5_SQL}
