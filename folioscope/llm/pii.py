@@ -63,10 +63,14 @@ CARD = r"\d(?:[ -]?\d){12,18}(?![ -]?\d)"
 SOCIAL = r"\d{3}-\d{2}-\d{4}(?!\d)"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)"
 NAME = rf"{_TITLE} {_CAP}(?:[ -]{_CAP}){{0,2}}|{_GIVEN} {_CAP}(?:[ -]{_CAP})?"
+# each part is tried only where its first character can stand
 ENTITY = (
-    rf"(?<![\p{{L}}\p{{N}}._%+-])(?:{EMAIL}|{ACCESS_KEY}|{SECRET}|{IBAN}|{NAME}|{IP}|{SOCIAL})"
-    rf"|(?<![\p{{L}}\p{{N}}.])(?:{PHONE}|{CARD})"
+    rf"(?=[A-Za-z0-9._%+\-\p{{Lu}}г])(?<![\p{{L}}\p{{N}}._%+-])(?:{EMAIL}|(?=[A-Z])(?:{ACCESS_KEY}|{IBAN})"
+    rf"|(?=[PpSsTtAa]){SECRET}|(?=[\p{{Lu}}г])(?:{NAME})|(?=[0-9])(?:{IP}|{SOCIAL}))"
+    rf"|(?=[0-9+(])(?<![\p{{L}}\p{{N}}.])(?:{PHONE}|{CARD})"
 )
+#: A text without this has no entity.
+HINT = rf"[0-9@=:]|AKIA|(?=[\p{{Lu}}г])(?<!\p{{L}})(?:{NAME})"
 KINDS = ("email", "key", "secret", "iban", "name", "ip", "social", "card", "phone")
 
 
@@ -215,7 +219,7 @@ def surrogate(kind: Column, x: Column, key: str, attempt: Column) -> Column:
 
 
 def _found(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def renumbered(entities: DataFrame, key: str) -> DataFrame:
