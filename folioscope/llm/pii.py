@@ -59,7 +59,7 @@ ACCESS_KEY = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 SECRET = r"(?i:password|passwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9_/+-]{8,200}"
 IP = rf"{_OCTET}(?:\.{_OCTET}){{3}}(?![\d.]*\d)"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
-CARD = r"\d(?:[ -]?\d){12,18}(?![ -]?\d)"
+CARD = r"\d{13,19}(?!\d)|\d{4}(?:[ -]\d{4}){3}(?!\d)|\d{4}[ -]\d{6}[ -]\d{5}(?!\d)"
 SOCIAL = r"\d{3}-\d{2}-\d{4}(?!\d)"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)"
 NAME = rf"{_TITLE} {_CAP}(?:[ -]{_CAP}){{0,2}}|{_GIVEN} {_CAP}(?:[ -]{_CAP})?"
