@@ -172,50 +172,91 @@ def _ip(x: Column, stream: Column) -> Column:
     )
 
 
+def _lists(names: dict[str, list[str]], which: Column) -> Column:
+    """The list of ``names`` under the key ``which``."""
+    out = F.array().cast("array<string>")
+    for name, items in names.items():
+        out = F.when(which == name, F.array(*map(F.lit, items))).otherwise(out)
+    return out
+
+
 def _name(x: Column, key: str, attempt: Column) -> Column:
     """Title kept, given name of the same gender and script, made-up surname that
     depends on the surname alone: "Mr. A B" and "Mr. B" keep sharing it."""
+    men, women = ([n for pair in GIVEN.values() for n in pair[k]] for k in (0, 1))
+    pools = {f"{script}{k}": pair[k] for script, pair in GIVEN.items() for k in (0, 1)}
+
+    def split(n: Column) -> Column:
+        script = F.when(n["bare"].rlike(r"\p{IsCyrillic}"), "cyrillic").when(n["bare"].rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+        return F.struct(n["title"].alias("title"), F.split(n["bare"], "[ -]").alias("parts"), script.alias("script"))
+
+    def seeds(n: Column) -> Column:
+        given, label = F.lower(F.get(n["parts"], F.lit(0))), F.regexp_replace(n["title"], r"\.", "")
+        sole = F.size(n["parts"]) == 1
+        surname = F.lower(F.element_at(n["parts"], -1))
+        return F.struct(
+            n["title"].alias("title"), n["script"].alias("script"), sole.alias("sole"), F.initcap(given).alias("given"), label.alias("label"),
+            _stream(key, F.lit("given"), given).alias("first"),
+            _stream(key, F.lit("surname"), surname, F.when(sole, attempt.cast("string")).otherwise("0")).alias("last"),
+        )
+
+    def put(n: Column) -> Column:
+        guess = _byte(n["first"], F.lit(0)) % 2 == 0
+        female = n["label"].isin(TITLES[1]) | (~n["label"].isin(TITLES[0]) & (n["given"].isin(women) | (~n["given"].isin(men) & guess)))
+        pool = _lists(pools, F.concat(n["script"], F.when(female, "1").otherwise("0")))
+        made = _let(
+            _lists(SYLLABLES, n["script"]),
+            lambda parts: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.get(parts, _byte(n["last"], k) % 16)), ""),
+        )
+        first = _let(pool, lambda names: F.get(names, (_byte(n["first"], F.lit(1)) + attempt) % F.size(names)))
+        more = F.when(attempt >= 8, F.concat(F.lit(" "), F.initcap(F.concat(F.get(_lists(SYLLABLES, n["script"]), F.lit(0)), attempt.cast("string")))))
+        whole = F.concat(F.when(n["sole"], "").otherwise(F.concat(first, F.coalesce(more, F.lit("")), F.lit(" "))), F.initcap(made))
+        return F.when(n["title"] == "", whole).otherwise(F.concat(n["title"], F.lit(" "), whole))
+
     title = F.regexp_extract(x, rf"^{_TITLE}(?= )", 0)
-    bare = F.when(title == "", x).otherwise(F.substring(x, F.length(title) + 2, F.length(x)))
-    script = F.when(bare.rlike(r"\p{IsCyrillic}"), "cyrillic").when(bare.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    parts = F.split(bare, "[ -]")
-    given, sole = F.get(parts, F.lit(0)), F.size(parts) == 1
-    surname = F.element_at(parts, -1)
-    label = F.rtrim(F.regexp_replace(title, r"\.", ""))
-    women = [n for pair in GIVEN.values() for n in pair[1]]
-    men = [n for pair in GIVEN.values() for n in pair[0]]
-    guess = _byte(_stream(key, F.lit("gender"), F.lower(given)), F.lit(0)) % 2 == 0
-    female = label.isin(TITLES[1]) | (~label.isin(TITLES[0]) & (given.isin(women) | (~given.isin(men) & guess)))
-
-    def of_script(name: str) -> Column:
-        pick = lambda names: F.get(
-            F.array(*map(F.lit, names)), (_byte(_stream(key, F.lit("given"), F.lower(given)), F.lit(1)) + attempt) % len(names)
+    parts = F.struct(title.alias("title"), F.regexp_replace(x, rf"^{_TITLE} ", "").alias("bare"))
+    return _let(parts, lambda n: _let(split(n), lambda n: _let(seeds(n), put)))
+
+
+def _email(x: Column, key: str, stream: Column) -> Column:
+    label = _shaped(F.lit("aaaaaa"), _stream(key, F.lit("domain"), F.lower(F.substring_index(x, "@", -1))))
+    return F.concat(_shaped(F.substring_index(x, "@", 1), stream), F.lit("@"), label, F.lit(".example.com"))
+
+
+def _secret(x: Column, stream: Column) -> Column:
+    """The label stays, and a value in hex stays one."""
+
+    def put(value: Column) -> Column:
+        new = F.when(value.rlike("^[0-9a-f]+$"), _shaped(value, stream, "abcdef")).otherwise(_shaped(value, stream))
+        return F.concat(F.substring(x, F.lit(1), F.length(x) - F.length(value)), new)
+
+    return _let(_value(x), put)
+
+
+def surrogate(e: Column, key: str, attempt: Column) -> Column:
+    """Of the struct ``e`` of ``kind, norm, x``. Parts that several others need are
+    bound once, which keeps the expression small."""
+
+    def put(s: Column) -> Column:
+        kind, x, stream, attempt = s["kind"], s["x"], s["stream"], s["attempt"]
+        return (
+            F.when(kind == "email", _email(x, key, stream))
+            .when(kind == "key", F.concat(F.lit("AKIA"), F.substring(_shaped(x, stream), 5, 16)))
+            .when(kind == "secret", _secret(x, stream))
+            .when(kind == "iban", F.concat(F.left(x, F.lit(2)), F.substring(_shaped(x, stream), F.lit(3), F.length(x))))
+            .when(kind == "name", _name(x, key, attempt)).when(kind == "ip", _ip(x, stream))
+            .when(kind == "card", _card(x, stream)).when(kind == "phone", _phone(x, stream))
+            .otherwise(_shaped(x, stream))
         )
-        stream = _stream(key, F.lit("surname"), F.lower(surname), F.when(sole, attempt.cast("string")).otherwise("0"))
-        syllable = lambda k: F.get(F.array(*map(F.lit, SYLLABLES[name])), _byte(stream, F.lit(k)) % 16)
-        made = F.initcap(F.concat(*[syllable(k) for k in range(5)]))
-        first = F.when(female, pick(GIVEN[name][1])).otherwise(pick(GIVEN[name][0]))
-        more = F.when(attempt >= 8, F.concat(F.lit(" "), F.initcap(F.concat(syllable(6), attempt.cast("string"))))).otherwise("")
-        return F.when(sole, made).otherwise(F.concat(first, more, F.lit(" "), made))
-
-    put = F.when(script == "cyrillic", of_script("cyrillic")).when(script == "greek", of_script("greek")).otherwise(of_script("latin"))
-    return F.when(title == "", put).otherwise(F.concat(title, F.lit(" "), put))
-
-
-def surrogate(kind: Column, x: Column, key: str, attempt: Column) -> Column:
-    stream = _stream(key, kind, normal(kind, x), attempt.cast("string"))
-    local, domain = F.substring_index(x, "@", 1), F.lower(F.substring_index(x, "@", -1))
-    label = _shaped(F.lit("aaaaaa"), _stream(key, F.lit("domain"), domain))
-    secret = F.when(_value(x).rlike("^[0-9a-f]+$"), _shaped(_value(x), stream, "abcdef")).otherwise(_shaped(_value(x), stream))
-    return (
-        F.when(kind == "email", F.concat(_shaped(local, stream), F.lit("@"), label, F.lit(".example.com")))
-        .when(kind == "key", F.concat(F.lit("AKIA"), F.substring(_shaped(x, stream), 5, 16)))
-        .when(kind == "secret", F.concat(F.substring(x, F.lit(1), F.length(x) - F.length(_value(x))), secret))
-        .when(kind == "iban", F.concat(F.left(x, F.lit(2)), F.substring(_shaped(x, stream), F.lit(3), F.length(x))))
-        .when(kind == "name", _name(x, key, attempt)).when(kind == "ip", _ip(x, stream))
-        .when(kind == "card", _card(x, stream)).when(kind == "phone", _phone(x, stream))
-        .otherwise(_shaped(x, stream))
-    )
+
+    stream = _stream(key, e["kind"], e["norm"], attempt.cast("string"))
+    return _let(F.struct(e["kind"].alias("kind"), e["x"].alias("x"), attempt.alias("attempt"), stream.alias("stream")), put)
+
+
+def _entities(found: Column) -> Column:
+    """``kind, norm, x`` of each string found."""
+    kinds = F.transform(found, lambda x: F.struct(kind_of(x).alias("kind"), x.alias("x")))
+    return F.transform(kinds, lambda e: F.struct(e["kind"].alias("kind"), normal(e["kind"], e["x"]).alias("norm"), e["x"].alias("x")))
 
 
 def _found(text: Column) -> Column:
@@ -230,7 +271,9 @@ def renumbered(entities: DataFrame, key: str) -> DataFrame:
     entities still in conflict get a new number, so the rounds end."""
     state = entities.select("kind", "norm", F.lit(0).alias("attempt"))
     while True:
-        state = written(state.withColumn("put", normal(F.col("kind"), surrogate(F.col("kind"), F.col("norm"), key, F.col("attempt")))), "surrogates")
+        entity = F.struct("kind", "norm", F.col("norm").alias("x"))
+        put = _let(surrogate(entity, key, F.col("attempt")), lambda x: normal(F.col("kind"), x))
+        state = written(state.withColumn("put", put), "surrogates")
         first = state.groupBy("kind", "put").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n"))
         twice = first.where("n > 1").select("kind", "put", "first.norm").withColumnRenamed("norm", "owner")
         shared = state.join(twice, ["kind", "put"]).where("norm <> owner").select("kind", "norm")
@@ -252,12 +295,10 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Data
     """
     text = F.col(f"`{text_col}`")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "pii_kinds"])
-    kinds = lambda found: F.transform(found, lambda x: F.struct(kind_of(x).alias("kind"), x.alias("x")))
-    normals = lambda ents: F.transform(ents, lambda e: F.struct(e["kind"].alias("kind"), normal(e["kind"], e["x"]).alias("norm")))
     mentions = docs.select(_found(text).alias("f"), F.xxhash64(text).alias("mark")).where(F.size("f") > 0)
-    mentions = written(mentions.select("mark", F.explode(normals(kinds(F.col("f")))).alias("e")).select("mark", "e.*").distinct(), "mentions")
+    mentions = written(mentions.select("mark", F.explode(_entities(F.col("f"))).alias("e")).select("mark", "e.kind", "e.norm").distinct(), "mentions")
     numbers = written(renumbered(mentions.select("kind", "norm").distinct(), key), "numbers")
-    found = docs.withColumn("pii_kinds", F.coalesce(kinds(_found(text)), F.array().cast("array<struct<kind:string,x:string>>")))
+    found = docs.withColumn("pii_kinds", F.coalesce(_entities(_found(text)), F.array().cast("array<struct<kind:string,norm:string,x:string>>")))
     attempt = lambda e: F.lit(0)
     if not numbers.isEmpty():
         per_text = mentions.join(numbers, ["kind", "norm"]).groupBy("mark").agg(
@@ -270,9 +311,9 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Data
             ).drop("pii_mark")
         )
         attempt = lambda e: F.coalesce(
-            F.element_at("pii_numbers", F.concat_ws("\u0001", e["kind"], normal(e["kind"], e["x"]))), F.lit(0)
+            F.element_at("pii_numbers", F.concat_ws("\u0001", e["kind"], e["norm"])), F.lit(0)
         )
-    put = F.transform("pii_kinds", lambda e: surrogate(e["kind"], e["x"], key, attempt(e)))
+    put = F.transform("pii_kinds", lambda e: surrogate(e, key, attempt(e)))
     gaps = F.split(text, ENTITY, -1)
     joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("pii_kinds")), put, lambda g, p: F.concat(g, p)), ""), F.element_at(gaps, -1))
     new = F.when(F.size("pii_kinds") > 0, joined).otherwise(text)
