@@ -9,6 +9,11 @@ most ``radius`` beyond the node's distance, so such points visit the left side
 as well, as queries. Each shard runs the same split in memory until blocks are
 small, compares exactly and returns only a spanning forest of its links. The
 forests of all shards are joined to components by rounds of min-label stars.
+
+Copies with a similarity of 0.8 lie some ten bits apart, where triangle bounds in
+64 bits prune nothing. ``similar_links`` finds those another way: texts meet by
+fingerprints of a few of their shingles, each meets the first and the last of such
+a group, and a pair counts if the shingle sets really are that similar.
 """
 
 from __future__ import annotations
@@ -34,7 +39,13 @@ BLOCK = 1 << 20
 #: Shingles whose bits are counted at once.
 PIECE = 1 << 14
 
+#: Similarity of word shingle sets, in words, above which texts are near copies;
+#: keys of a text, and shingles that make a key.
+SIMILARITY, WORDS = 0.8, 5
+KEYS, PICKED = 24, 3
+
 _BITS = np.arange(64, dtype=np.uint64)
+_TURNS = np.random.default_rng(SEED).integers(1 << 63, size=KEYS, dtype=np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -257,9 +268,76 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lower(F.lpad(F.hex("point"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, shingle: int = WORDS) -> np.ndarray:
+    """Distinct XXH64 of a text's word shingles; one if it has fewer words, none
+    without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    parts = zip(*(words[k:] for k in range(shingle))) if len(words) >= shingle else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(p), SEED) for p in parts), np.uint64))
+
+
+def _keys(own: np.ndarray) -> list[int]:
+    """A fingerprint of the PICKED shingles that come first in each of KEYS orders."""
+    out = []
+    for k, turn in enumerate(_TURNS):
+        order = own * turn
+        order ^= order >> np.uint64(31)
+        first = np.sort(np.partition(order, PICKED - 1)[:PICKED] if len(order) > PICKED else order)
+        digest = xxhash.xxh64_intdigest(first.tobytes(), k)
+        out.append(digest - (1 << 64) if digest >> 63 else digest)
+    return out
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``a, b``: links between documents whose sets of five-word shingles have a
+    Jaccard similarity of ``similarity`` or more; copies are linked to the first.
+
+    A text meets at most two others for each of its keys, however many share
+    them. Null ids, and texts without words, take no part."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [_keys(own) if len(own := shingle_set(t.as_py())) else [] for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # a row at a time: sets are as large as texts
+                own = shingle_set(b.column(1)[i].as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 1], pa.array([own], pa.list_(pa.int64()))], ["doc_id", "own"])
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null")
+    named = written(rows.select("doc_id", F.xxhash64("text").alias("mark"), F.octet_length("text").alias("size")), "marks")
+    first = named.groupBy("mark", "size").agg(F.min("doc_id").alias("first"))
+    same = written(named.join(first, ["mark", "size"]).where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
+    once = rows.join(same.select("doc_id"), "doc_id", "left_anti")
+    keys = written(once.mapInArrow(keyed, "doc_id bigint, keys array<bigint>").select("doc_id", F.explode("keys").alias("key")), "keys")
+    ends = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    met = keys.join(ends, "key").select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other")
+    pairs = written(met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    own = written(rows.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id bigint, own array<bigint>"), "sets")
+    left, right = (own.select(F.col("doc_id").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
+    # sizes alone tell most pairs apart before the sets are moved
+    sizes = own.select("doc_id", F.size("own").alias("n"))
+    close = (
+        pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a")
+        .join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
+        .where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
+    )
+    both = F.size(F.array_intersect("own_a", "own_b"))
+    alike = both >= similarity * (F.size("own_a") + F.size("own_b") - both)
+    found = close.join(left, "a").join(right, "b").where(alike).select("a", "b")
+    return found.union(same.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows whose id is the smallest of their component, columns as given.
+    """The rows whose id is the smallest of their group, columns as given. A group
+    is connected by fingerprints within ``radius`` bits and by ``similar_links``.
     Rows with a null id have no name to be found by and all stay."""
-    found = near_duplicates(docs, id_col, text_col, radius=radius)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    near = near_duplicates(docs, id_col, text_col, radius=radius).where("doc_id <> component_id")
+    edges = near.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    found = roots(edges.union(similar_links(docs, id_col, text_col)))
+    return docs.join(found.select(F.col("point").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)

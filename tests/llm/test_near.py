@@ -115,3 +115,26 @@ def test_odd_tables(spark, docs_of):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 2, 5, 5]
     nameless = docs_of([(None, "q r s"), (None, "q r s")])
     assert near.near_duplicates(nameless).where(F.col("component_id").isNull()).count() == 2
+
+
+def test_similar_copies_are_found(spark, docs_of):
+    random.seed(8)
+    rows = []
+    for i in range(40):
+        words = [f"w{random.randrange(5000)}" for _ in range(random.randint(12, 150))]
+        rows.append((1000 - i, " ".join(words)))
+        for k in range(3):
+            copy = words[:]
+            for _ in range(random.randint(0, 3)):
+                copy[random.randrange(len(copy))] = "changed"
+            rows.append((5000 + 10 * i + k, " ".join(copy)))
+    sets = {d: {tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for d, t in rows}
+    want = {tuple(sorted((a, b))) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    ids = sorted(sets)
+    place = {d: k for k, d in enumerate(ids)}
+    groups = lambda pairs: brute_of(ids, [(place[a], place[b]) for a, b in pairs])
+    df = docs_of([*rows, (None, rows[0][1]), (1, None), (2, "")])
+    got = [(r.a, r.b) for r in near.similar_links(df).collect()]
+    assert all(tuple(sorted(p)) in want for p in got) and groups(got) == groups(want)
+    kept = {r.doc_id for r in near.drop_near_duplicates(df).collect()}
+    assert kept >= {ids[k] for k, g in enumerate(groups(want)) if k == g} - {2}

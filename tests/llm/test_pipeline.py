@@ -4,7 +4,16 @@ import corpus_pipeline
 from __spark_entry__ import queries
 from folioscope.llm import quality
 from tests.llm.test_decontaminate import brute as leaks
-from tests.llm.test_near import brute_components, brute_print
+from tests.llm.test_near import brute_components, brute_of, brute_print
+
+
+def brute_groups(texts):
+    """Components over fingerprints within two bits or similar shingle sets."""
+    prints = brute_components([brute_print(t) for t in texts])
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in ((t or "").encode().lower().split() for t in texts)]
+    pairs = [(i, g) for i, g in enumerate(prints)]
+    pairs += [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return brute_of(texts, pairs)
 
 
 def test_registered():
@@ -31,7 +40,7 @@ def test_stages_equal_brute_force(spark, small, tmp_path):
             want = {d: t for d, t in seen.items() if d in judged}
         elif name == "near_dedup":
             order = sorted(seen)
-            groups = brute_components([brute_print(seen[d]) for d in order])
+            groups = brute_groups([seen[d] for d in order])
             want = {d: seen[d] for d, g in zip(order, groups) if order[g] == d}
         elif name == "decontamination":
             hit = leaks(list(seen.items()), items)
