@@ -124,7 +124,8 @@ def paper_subgraph(
     """One-hop subgraph of each requested paper, as (nodes, edges) with paper_id.
 
     Seeds are the paper's own node and the entities it is the source of; edges
-    touch a seed at either end (two equi joins and a distinct, not an OR join).
+    touch a seed at either end (two equi joins, not an OR join). Every stored edge
+    counts: equal ones stay as often as they are stored, also loops.
     ``strict`` leaves nodes at the seeds; otherwise both ends of every edge are in.
     """
     own = papers.join(paper_ids.select("paper_id").distinct(), "paper_id", "left_semi").select(
@@ -147,7 +148,10 @@ def paper_subgraph(
         seeds.withColumnRenamed("entity_id", "target_entity_id"), "target_entity_id"
     )
     keep = ["paper_id", *links.columns]
-    edges = by_source.select(*keep).unionByName(by_target.select(*keep)).distinct()
+    # an edge of two seeds of a paper was already found by its source
+    sources = seeds.withColumnRenamed("entity_id", "source_entity_id")
+    rest = by_target.join(sources, ["paper_id", "source_entity_id"], "left_anti")
+    edges = by_source.select(*keep).unionByName(rest.select(*keep))
     wanted = seeds
     if not strict:
         wanted = (

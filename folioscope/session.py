@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,12 +49,13 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a table that several later steps read once, into the shared
-    checkpoint folder. A lost executor then re-reads files instead of the whole
-    chain before it, and plans stay short. In local mode without a named folder
-    a temporary one is set; on a cluster without one the table stays lazy."""
+    """Compute a table that several later steps read once, as Parquet in the
+    folder that ``spark.checkpoint.dir`` names, or in the warehouse where the
+    session names none: both are shared. A lost executor then re-reads files
+    instead of the whole chain before it, plans stay short and later steps read
+    only their columns. The folder is the run's own and goes with it."""
     spark = df.sparkSession
-    local = spark.sparkContext.master.startswith("local")
-    if checkpoint_dir(spark) is None and local:
-        checkpoint_dir(spark, tempfile.mkdtemp(prefix="folioscope-"))
-    return df.checkpoint() if checkpoint_dir(spark) else df
+    folder = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

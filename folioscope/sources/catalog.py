@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.functions.text import name_key, strip
@@ -18,6 +20,10 @@ class DiscoveryError(RuntimeError):
     """Every requested source failed."""
 
 
+class SourceLeftOut(UserWarning):
+    """A source could not be opened, so the union lacks it."""
+
+
 def from_feed(entries: DataFrame) -> DataFrame:
     return entries.select(
         F.lit("arxiv").alias("source"),
@@ -44,15 +50,17 @@ def unify(
     loaders: dict[str, Callable[[], DataFrame]], sources: list[str] | None = None
 ) -> DataFrame:
     """Union of the requested sources in catalog shape, without cross-source
-    dedupe. A source that cannot be opened is left out, unless none can."""
+    dedupe. A source that cannot be opened is left out with a warning that names
+    it and its error, unless none can. A source that fails later fails the job."""
     frames, errors = [], []
     for name, load in loaders.items():
         if sources is not None and name not in sources:
             continue
         try:
             frames.append(load().select(*COLUMNS))
-        except Exception as problem:  # noqa: BLE001 - any failing source is only left out
+        except (AnalysisException, OSError) as problem:
             errors.append(f"{name}: {problem}")
+            warnings.warn(f"source left out: {errors[-1]}", SourceLeftOut, stacklevel=2)
     if not frames:
         raise DiscoveryError("; ".join(errors) or "no source requested")
     out = frames[0]
@@ -67,9 +75,11 @@ def plan_ingest(requested: DataFrame, papers: DataFrame, key: str = "arxiv_id")
     return requested.join(done, key, "left_anti")
 
 
-def upsert_papers(papers: DataFrame, incoming: DataFrame, key: str = "arxiv_id") -> DataFrame:
+def upsert_papers(
+    papers: DataFrame, incoming: DataFrame, key: str = "arxiv_id", order: list[str] | None = None
+) -> DataFrame:
     """Paper table after an ingest run: completed papers stay as they are, others
-    take the incoming row."""
+    take the incoming row; of several, the last by ``order`` and then by all columns."""
     rank = F.when(F.col("extraction_status") == "completed", 2).otherwise(0)
     columns = papers.columns
     both = papers.withColumn("rank", rank).unionByName(
@@ -77,7 +87,7 @@ def upsert_papers(papers: DataFrame, incoming: DataFrame, key: str = "arxiv_id")
     )
     return (
         both.groupBy(key)
-        .agg(F.max_by(F.struct(*columns), "rank").alias("row"))
+        .agg(F.max_by(F.struct(*columns), F.struct("rank", *(order or []), *columns)).alias("row"))
         .select("row.*")
     )
 

@@ -21,10 +21,13 @@ def response_body(raw: Column) -> Column:
 
 
 def _object(raw: Column) -> Column:
-    """The parsed body with ``_bad`` set where it is no JSON object."""
+    """The parsed body with ``_bad`` set where it is no JSON object and nothing
+    else. As the only element of an array, an object may not be followed by text."""
     body = response_body(raw)
-    safe = F.when(body.startswith("{"), body).otherwise("{")
-    return F.from_json(safe, f"{RESPONSE}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    alone = F.size(F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<map<string,string>>", strict)) == 1
+    safe = F.when(body.startswith("{") & F.coalesce(alone, F.lit(False)), body).otherwise("{")
+    return F.from_json(safe, f"{RESPONSE}, _bad STRING", strict | {"columnNameOfCorruptRecord": "_bad"})
 
 
 def parsed_papers(responses: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "local[4]", 4, **{"spark.ui.showConsoleProgress": "false"})
+def spark(tmp_path_factory):
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
+    extra = {"spark.ui.showConsoleProgress": "false", "spark.sql.warehouse.dir": warehouse}
+    session = build_session("tests", "local[4]", 4, **extra)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

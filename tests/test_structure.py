@@ -10,16 +10,16 @@ from folioscope.operators.structure import (
 )
 
 PAPER = [
-    ("Abstract", "This paper introduces a new approach."),
-    ("1. Introduction", "Graph neural networks are central."),
-    ("2. Related Work", "Kipf and Welling proposed GCN."),
-    ("3. Methodology", "We propose a hybrid scheme."),
-    ("4. Experiments", "We evaluate on Cora, Citeseer, and PubMed."),
-    ("5. Results", "Our method achieves 84.2 percent accuracy."),
-    ("6. Limitations", "Static graphs only."),
-    ("7. Conclusion", "We presented a method."),
-    ("References", "[1] Kipf, T. Semi-Supervised Classification. 2017.\n[2] Velickovic, P. Graph Attention Networks. 2018.\n"
-                   "[3] Hamilton, W. Inductive Representation Learning. 2017."),
+    ("Abstract", "River ice breaks earlier each decade."),
+    ("1. Introduction", "Ferries depend on the date."),
+    ("2. Related Work", "Logs of three ports exist."),
+    ("3. Methodology", "Dates are read from ledgers."),
+    ("4. Experiments", "Four rivers are compared."),
+    ("5. Results", "The date moves by 2.5 days."),
+    ("6. Limitations", "Two ledgers are torn."),
+    ("7. Conclusion", "More ports should be read."),
+    ("References", "[1] Nyman, O. Ledgers of the North. 1998.\n[2] Brandt, E. Ice and Ferries. 2004.\n"
+                   "[3] Laine, P. Reading Torn Pages. 2012."),
 ]
 
 
@@ -37,8 +37,8 @@ def test_paper_sections_and_references(spark):
     assert [r.order_index for r in got] == list(range(9))
     assert [(r.page_start, r.page_end) for r in got][:2] == [(0, 1), (1, 2)]
     refs = split_references(sections).orderBy("order_index").collect()
-    assert [r.parsed_year for r in refs] == [2017, 2018, 2017]
-    assert refs[0].raw_text.startswith("Kipf")
+    assert [r.parsed_year for r in refs] == [1998, 2004, 2012]
+    assert refs[0].raw_text.startswith("Nyman")
     assert split_references(sections.where("section_type <> 'references'")).count() == 0
 
 
