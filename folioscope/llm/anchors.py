@@ -6,6 +6,8 @@ import numpy as np
 
 #: Bytes of a window, and of the grams whose smallest hash is its anchor.
 WINDOW, GRAM = 50, 24
+#: Windows that are looked at together.
+TILE = 1 << 15
 _STEPS = (1, 2, 4, 8)
 _TABLE = np.random.default_rng(50).integers(1 << 63, size=256, dtype=np.uint64)
 _MIX = np.random.default_rng(24).integers(1 << 63, size=8, dtype=np.uint64) | np.uint64(1)
@@ -25,6 +27,16 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _anchors(data: np.ndarray) -> np.ndarray:
+    """The anchor of the window at each place that has one."""
+    least, wide, span = _grams(data), WINDOW - GRAM + 1, 1
+    while 2 * span <= wide:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    rest = wide - span
+    return np.minimum(least[:-rest], least[rest:]) if rest else least
+
+
 def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(anchor, first, count, text)``: the windows of the texts that end at
     ``ends``, in runs of ``count`` neighbours that share their anchor.
@@ -35,26 +47,20 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     if len(data) < WINDOW:
         return none.astype(np.uint64), none, none, none
     wide = WINDOW - GRAM + 1
-    least = _grams(data)
-    span = 1
-    while 2 * span <= wide:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    rest = wide - span
-    if rest:
-        least = np.minimum(least[:-rest], least[rest:])
+    # in tiles that stay in the processor's cache
+    least = np.concatenate([_anchors(data[at : at + TILE + WINDOW - 1]) for at in range(0, len(data) - WINDOW + 1, TILE)])
     sizes = np.diff(ends, prepend=0)
     counts = np.maximum(sizes - WINDOW + 1, 0)
-    text = np.flatnonzero(counts)
-    begin, counts = (ends - sizes)[text], counts[text]
-    # places of windows, text after text
-    shift = np.repeat(begin - (np.cumsum(counts) - counts), counts)
-    place = np.arange(int(counts.sum())) + shift
-    value = least[place]
-    new = np.ones(len(place), bool)
-    new[1:] = (value[1:] != value[:-1]) | (place[1:] != place[:-1] + 1)
-    heads = np.flatnonzero(new)
-    since = np.arange(len(place)) - np.repeat(heads, np.diff(heads, append=len(place)))
-    heads = np.flatnonzero(since % wide == 0)
-    first = place[heads]
-    return value[heads], first, np.diff(heads, append=len(place)), np.searchsorted(ends, first, "right")
+    begins = ends - sizes
+    change = np.flatnonzero(least[1:] != least[:-1]) + 1
+    first = np.unique(np.concatenate([[0], change, begins, begins + counts]))
+    first = first[first < len(least)]
+    size = np.diff(first, append=len(least))
+    text = np.searchsorted(ends, first, "right")
+    real = first < (begins + counts)[text]
+    first, size = first[real], size[real]
+    parts = -(-size // wide)
+    which = np.repeat(np.arange(len(first)), parts)
+    skip = (np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)) * wide
+    first, size, text = first[which] + skip, np.minimum(size[which] - skip, wide), text[real][which]
+    return least[first], first, size, text
