@@ -30,5 +30,5 @@ def written(df: DataFrame, what: str) -> DataFrame:
     that survive a lost executor, only the columns they need, and the work
     before runs once. The folder is the run's own and goes with it."""
     path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

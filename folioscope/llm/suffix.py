@@ -1,8 +1,9 @@
 """Removal of bytes that repeat an earlier document, by collection suffix arrays.
 
 A byte goes if a string of WINDOW bytes that covers it also starts in a document
-with a smaller id. Texts are joined to blocks, kept in a table bucketed by block.
-Windows with equal bytes have equal anchors (see ``anchors``), so:
+with a smaller id. Exact copies of an earlier document go whole at once. Other texts
+are joined to blocks, kept in a table bucketed by block. Windows with equal bytes
+have equal anchors (see ``anchors``), so:
 
 1. blocks tell which anchors they have; those of two documents or more are kept;
 2. neighbouring windows of such an anchor make one string; equal strings are
@@ -33,6 +34,9 @@ from folioscope.llm.common import fresh_path, written
 
 #: Bytes of a block, anchors that meet in a group, strings that are built together.
 BLOCK, MEET, TOGETHER = 1 << 20, 1 << 18, 12_000
+#: Exact copies up to which their digests go to every executor (40 bytes each);
+#: beyond it the join shuffles.
+SENT = 500_000
 #: Strings of one anchor beyond which its windows go separate ways.
 HOT = 8_000
 #: Stands for a null id: larger than any.
@@ -40,8 +44,9 @@ LAST = np.iinfo(np.int64).max
 _BITS = 48
 
 
-def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``block, ids, sizes, data``: texts joined to blocks of about BLOCK bytes."""
+def blocks(docs: DataFrame) -> DataFrame:
+    """``block, ids, sizes, data``: texts of ``doc_id, text`` joined to blocks of
+    about BLOCK bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -67,8 +72,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield flush()
 
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    made = rows.mapInArrow(run, "block bigint, ids array<bigint>, sizes array<bigint>, data binary")
+    made = docs.mapInArrow(run, "block bigint, ids array<bigint>, sizes array<bigint>, data binary")
     name = f"llm_blocks_{uuid.uuid4().hex}"
     made.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option(
         "path", fresh_path(spark, "blocks")
@@ -253,17 +257,38 @@ def cut_blocks(table: DataFrame, results: DataFrame) -> DataFrame:
     return pairs.applyInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
 
 
+def copies(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that are no exact copy of a row with a smaller id, and
+    ``doc_id, size`` of those that are and have a window: nothing of them stays."""
+    identity, text = F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+    rows = docs.select(identity, text)
+    digest, size = F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("bigint").alias("size")
+    marks = written(rows.where(F.octet_length("text") >= WINDOW).select("doc_id", digest, size), "digests")
+    first = marks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    gone = written(marks.join(first, "digest").where("doc_id is null or doc_id > first").select("doc_id", "digest", "size"), "copies")
+    names = gone.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    few = names.count() <= SENT
+    kept = rows.join(
+        F.broadcast(names) if few else names,
+        F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.unhex(F.sha2("text", 256)) == F.col("gone_digest")), "left_anti",
+    )
+    return kept, gone.select("doc_id", "size")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", together: int = TOGETHER, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` for every row of ``docs``: the byte spans
     that go, and the bytes that stay (which may cut a character).
 
     A null text is empty. Rows with one id cut nothing from each other; a null id
     counts as larger than all others. Other columns are ignored."""
-    table = blocks(docs, id_col, text_col)
+    rest, gone = copies(docs, id_col, text_col)
+    table = blocks(rest)
     total = table.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x))).first()[0] or 0
     groups = max(1, -(-total // (14 * MEET)))
     met = met_anchors(table, groups)
     found = written(strings(table, met, groups), "strings")
     low = written(minima(found, together, hot), "minima")
     results = found.select("block", "anchor", F.xxhash64("string").alias("name")).join(low, "name")
-    return cut_blocks(table, results)
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").alias("stop"))).alias("spans")
+    nothing = F.lit("").cast("binary").alias("kept")
+    return cut_blocks(table, results).union(gone.select("doc_id", F.col("size").alias("n_bytes"), whole, nothing))
