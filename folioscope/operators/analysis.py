@@ -36,7 +36,8 @@ def knowledge_summary(
     """One record per paper: names by type, claim texts, cited titles, counts.
 
     ``entities`` supplies the resolved spelling of a name where given. cites:
-    (paper_id, reference_id, cited_title), one row per citation edge.
+    (paper_id, reference_id, cited_title), one row per citation edge, listed by
+    ``reference_order`` where there is such a column.
     """
     named = raw_entities
     if entities is not None:
@@ -75,9 +76,10 @@ def knowledge_summary(
     if cites is None:
         out = out.withColumn("cites", F.array().cast("array<string>")).withColumn("cited", F.lit(0))
     else:
+        by = [c for c in cites.columns if c == "reference_order"]
         listed = cites.groupBy("paper_id").agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("reference_id", "cited_title"))),
+                F.array_sort(F.collect_list(F.struct(*by, "reference_id", "cited_title"))),
                 lambda e: e["cited_title"],
             ).alias("cites"),
             F.count(F.lit(1)).alias("cited"),

@@ -38,8 +38,9 @@ def paper_detail(
     sections: DataFrame,
     references: DataFrame,
 ) -> DataFrame:
-    """Papers with ordered authors, sections and references as nested lists. Each
-    child is aggregated before the join, so children never multiply each other."""
+    """Papers with ordered authors, sections and references as nested lists, empty
+    where a paper has none. Each child is aggregated before the join, so children
+    never multiply each other."""
     nested_sections = sections.groupBy("paper_id").agg(
         F.array_sort(
             F.collect_list(
@@ -54,6 +55,7 @@ def paper_detail(
         papers.join(ordered_authors(paper_authors, authors), "paper_id", "left")
         .join(nested_sections, "paper_id", "left")
         .join(nested_references, "paper_id", "left")
+        .withColumns({c: F.coalesce(c, F.array()) for c in ("authors", "sections", "references")})
     )
 
 

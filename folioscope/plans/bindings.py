@@ -314,7 +314,7 @@ def term_idf(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    query = table(spark, sf, "region").agg(F.lit(0).alias("query_id"), F.lit(PHRASE).alias("text"))
+    query = spark.range(1).select(F.lit(0).alias("query_id"), F.lit(PHRASE).alias("text"))
     hits = retrieval.bm25_over_documents(doc_texts(spark, sf), query)
     papers = table(spark, sf, "documents").withColumnRenamed("doc_id", "paper_id")
     return retrieval.hydrate(hits, papers, ["lang", "source"]).select(
@@ -322,6 +322,16 @@ def bm25_topk(spark, sf):
     )
 
 
+def search_corpus(spark, sf):
+    """Documents as papers; those labelled good have been extracted."""
+    status = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("good"))
+    papers = table(spark, sf, "documents").join(status, "doc_id", "left").select(
+        F.col("doc_id").alias("paper_id"), F.col("source").alias("title"), F.col("lang").alias("abstract"),
+        F.col("text").alias("full_text"), F.when(F.col("good") == 1, "completed").otherwise("failed").alias("extraction_status"),
+    )
+    return retrieval.search_corpus(papers, benchmark_queries(spark, sf))
+
+
 def bm25_batch_topk(spark, sf):
     return retrieval.bm25_over_documents(doc_texts(spark, sf), benchmark_queries(spark, sf))
 
@@ -559,9 +569,7 @@ def novelty_score(spark, sf):
 
 
 def low_novelty(spark, sf):
-    return novelty.low_novelty(novelty.novelty(brand_methods(spark, sf))).agg(
-        F.count(F.lit(1)).alias("low_novelty"), F.round(F.avg("novelty_score"), 4).alias("mean_score")
-    )
+    return novelty.low_novelty(novelty.novelty(brand_methods(spark, sf)))
 
 
 def impact_score(spark, sf):
@@ -594,6 +602,14 @@ def recommend_topk(spark, sf):
     return overlap.recommend(order_parts(spark, sf))
 
 
+def recommend_full(spark, sf):
+    """Every order, with the names it shares with each recommended one."""
+    concepts = order_parts(spark, sf)
+    named = overlap.shared_concepts(overlap.recommend(concepts), concepts)
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("paper_id"))
+    return overlap.with_empty(named, orders).withColumn("shared_concepts", F.array_join("shared_concepts", ","))
+
+
 def knowledge_summary(spark, sf):
     lines = lineitem(spark, sf)
     part = F.concat(F.lit("part "), F.col("l_partkey").cast("string"))
@@ -891,12 +907,12 @@ QUERIES = {
     for f in [
         clean_text, normalize_title, tokenize_counts, vocab_match, cue_names, claim_sentences,
         extract_knowledge, classify_lines, segment_sections, segment_turns, section_previews,
-        split_references, assemble_turns, term_stats, term_idf, bm25_topk, bm25_batch_topk,
+        split_references, assemble_turns, term_stats, term_idf, bm25_topk, search_corpus, bm25_batch_topk,
         rrf_fusion, resolve_entities, resolve_authors, resolve_edges, paper_subgraph,
         paper_subgraph_nodes, nodes_by_type, graph_edges_merged, citation_match, citation_edges,
         claim_figures, contradictions, contradiction_figures, gap_underexplored, gap_unevaluated,
         benchmark_timeline, timeline_points, novelty_overlap, novelty_score, low_novelty,
-        impact_score, paper_analysis, missing_citations, recommend_topk, knowledge_summary,
+        impact_score, paper_analysis, missing_citations, recommend_topk, recommend_full, knowledge_summary,
         review_lines, run_totals, unify_sources, search_payloads, feed_entries, parse_responses,
         coalesce_extractions, ingest_todo, upsert_papers, status_funnel, paper_detail, paper_cards,
         list_papers, request_counts, request_latency, status_breakdown, request_rate_5m,

@@ -125,12 +125,19 @@ def _bm25(queries: str, k1: float, b: float, name: str) -> str:
       GROUP BY 1, 2)) WHERE rank <= 10)"""
 
 
+_PAPERS = """
+SELECT doc_id, concat_ws(' ', nullif(source, ''), nullif(lang, ''), nullif(text, '')) AS text FROM documents
+JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1) USING (doc_id)"""
+
 _INDEX = f"""{_TOKENS},
 tf AS (SELECT doc_id, term, count(*) AS tf FROM kept GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 dl AS (SELECT d.doc_id, count(k.term) AS dl FROM documents d LEFT JOIN kept k USING (doc_id) GROUP BY 1),
 n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)"""
 
+# the index over completed papers: title, abstract and full text as one text
+_PAPER_INDEX = f"papers AS ({_PAPERS}), " + _INDEX.replace("FROM documents", "FROM papers")
+
 _BENCH_TERMS = f"""
 qterms AS (
   SELECT query_id, term, count(*) AS qtf FROM (
@@ -312,6 +319,9 @@ WITH {_INDEX} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1.0), 6) A
     "bm25_topk": f"""
 WITH {_INDEX}, {_PHRASE_TERMS}, {_bm25('SELECT * FROM qterms', 1.5, 0.75, 'hits')}
 SELECT rank, doc_id, lang, source, score FROM hits JOIN documents USING (doc_id)""",
+    "search_corpus": f"""
+WITH {_PAPER_INDEX}, {_BENCH_TERMS}, {_bm25('SELECT * FROM qterms', 1.5, 0.75, 'hits')}
+SELECT query_id, rank, doc_id, source AS title, score FROM hits JOIN (SELECT doc_id, source FROM documents) USING (doc_id)""",
     "bm25_batch_topk": f"""
 WITH {_INDEX}, {_BENCH_TERMS}, {_bm25('SELECT * FROM qterms', 1.5, 0.75, 'hits')}
 SELECT query_id, doc_id, score, rank FROM hits""",
@@ -389,7 +399,7 @@ SELECT s.name AS method, s.other AS "similar", o.c AS mentions
 FROM alike s JOIN mentions o ON o.name = s.other WHERE s.name <> s.other OR o.c > 1""",
     "novelty_score": f"WITH {_NOVELTY} SELECT * FROM scores",
     "low_novelty": f"""
-WITH {_NOVELTY} SELECT count(*) AS low_novelty, round(avg(novelty_score), 4) AS mean_score FROM scores WHERE novelty_score < 1""",
+WITH {_NOVELTY} SELECT * FROM scores WHERE novelty_score < 1""",
     "impact_score": f"WITH {_IMPACT} SELECT * FROM impact",
     "paper_analysis": f"""
 WITH {_ANALYSIS}
@@ -417,6 +427,21 @@ ranked AS (
          row_number() OVER (PARTITION BY o ORDER BY round(shared::DOUBLE / n, 2) DESC, r) AS position
   FROM pairs JOIN own USING (o))
 SELECT o AS paper_id, position, r AS recommended_id, 'order ' || r AS recommended_title, shared, score FROM ranked WHERE position <= 3""",
+    "recommend_full": """
+WITH c AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+own AS (SELECT o, count(*) AS n FROM c GROUP BY 1),
+pairs AS (SELECT a.o, b.o AS r, count(*) AS shared FROM c a JOIN c b ON a.p = b.p AND a.o <> b.o GROUP BY 1, 2),
+ranked AS (
+  SELECT o, r, shared, round(shared::DOUBLE / n, 2) AS score,
+         row_number() OVER (PARTITION BY o ORDER BY round(shared::DOUBLE / n, 2) DESC, r) AS position
+  FROM pairs JOIN own USING (o)),
+best AS (SELECT o AS paper_id, position, r AS recommended_id, 'order ' || r AS recommended_title, shared, score FROM ranked WHERE position <= 3),
+names AS (
+  SELECT best.paper_id, recommended_id, string_agg('part ' || a.p, ',' ORDER BY 'part ' || a.p) AS shared_concepts
+  FROM best JOIN c a ON a.o = best.paper_id JOIN c b ON b.o = recommended_id AND b.p = a.p GROUP BY 1, 2)
+SELECT o_orderkey AS paper_id, best.recommended_id, position, recommended_title, shared, score, shared_concepts
+FROM orders LEFT JOIN best ON best.paper_id = o_orderkey
+LEFT JOIN names ON names.paper_id = best.paper_id AND names.recommended_id = best.recommended_id""",
     "knowledge_summary": """
 SELECT o_orderkey AS paper_id, CAST(year(o_orderdate) AS INTEGER) AS year, count(l_orderkey) AS entities_created,
        count(CASE WHEN l_returnflag <> 'N' THEN 1 END) AS relationships_created,
@@ -484,9 +509,9 @@ SELECT arxiv_id, CASE WHEN extraction_status = 'completed' THEN lang ELSE upper(
        CASE WHEN extraction_status = 'completed' THEN 'completed' ELSE 'downloading' END AS extraction_status FROM papers""",
     "status_funnel": f"WITH {_LABELLED} SELECT extraction_status, count(*) AS papers FROM papers GROUP BY 1",
     "paper_detail": """
-SELECT o_orderkey AS paper_id, o_orderpriority AS title, string_agg(s_name, ';' ORDER BY l_linenumber, s_name) AS authors,
-       string_agg(l_returnflag, ';' ORDER BY l_linenumber, l_returnflag) AS sections,
-       string_agg(l_partkey || '@' || year(l_shipdate), ';' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), year(l_shipdate)) AS references
+SELECT o_orderkey AS paper_id, o_orderpriority AS title, coalesce(string_agg(s_name, ';' ORDER BY l_linenumber, s_name), '') AS authors,
+       coalesce(string_agg(l_returnflag, ';' ORDER BY l_linenumber, l_returnflag), '') AS sections,
+       coalesce(string_agg(l_partkey || '@' || year(l_shipdate), ';' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), year(l_shipdate)), '') AS references
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2""",
     "paper_cards": """
 WITH p AS (

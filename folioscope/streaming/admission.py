@@ -138,15 +138,21 @@ def admit_stream(
     refill_per_second: float,
     cost: float = 1.0,
     lateness: str = "10 minutes",
+    tie: list[str] | None = None,
 ) -> DataFrame:
-    """The same over a stream: (key, ts, allowed, remaining), in event-time order
-    within each micro-batch. A bucket idle long enough to be full is dropped from
-    state; an absent bucket is a full one, so nothing changes."""
+    """The same over a stream: all event columns with ``allowed`` and ``remaining``,
+    by event time and then ``tie`` within each micro-batch. A bucket idle long
+    enough to be full is dropped from state; an absent bucket is a full one, so
+    nothing changes. A key's events of one micro-batch are sorted in memory: bound
+    them by the source's trigger options."""
     _check(capacity, refill_per_second)
     capacity, rate = float(capacity), float(refill_per_second)
     idle_ms = int(capacity / rate * 1000) + 1
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    out = f"`{key}` {kinds[key]}, `{ts}` {kinds[ts]}, allowed boolean, remaining double"
+    columns = [*events.columns, "allowed", "remaining"]
+    out = (
+        ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+        + ", allowed boolean, remaining double"
+    )
 
     def step(
         name: tuple, batches: Iterator[pd.DataFrame], state: GroupState
@@ -154,7 +160,7 @@ def admit_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values("_us", kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["_us", *(tie or [])], kind="stable")
         tokens, last = state.get if state.exists else (capacity, None)
         allowed, remaining, tokens, last = spend(
             rows["_us"].tolist(), tokens, last, capacity, rate, cost
@@ -162,11 +168,10 @@ def admit_stream(
         state.update((tokens, last))
         # a timeout must lie beyond the watermark
         state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + idle_ms)
-        yield rows.assign(allowed=allowed, remaining=remaining)[[key, ts, "allowed", "remaining"]]
+        yield rows.assign(allowed=allowed, remaining=remaining)[columns]
 
     return (
         _with_micros(events.withWatermark(ts, lateness), ts)
-        .select(key, ts, "_us")
         .groupBy(key)
         .applyInPandasWithState(
             step, out, "tokens double, last bigint", "append", GroupStateTimeout.EventTimeTimeout

@@ -92,13 +92,16 @@ def test_bucket_stream(spark, tmp_path):
         events(spark, half).coalesce(1).write.parquet(str(tmp_path / f"in/part={part}"))
     stream = (spark.readStream.schema("key STRING, ts TIMESTAMP, event_id BIGINT").option("maxFilesPerTrigger", 1)
               .option("latestFirst", "false").parquet(str(tmp_path / "in/part=*")))
-    query = (admit_stream(stream, "key", "ts", 3, 0.5).writeStream.format("memory").queryName("bucket")
+    query = (admit_stream(stream, "key", "ts", 3, 0.5, tie=["event_id"]).writeStream.format("memory").queryName("bucket")
              .option("checkpointLocation", str(tmp_path / "cp")).start())
     try:
         query.processAllAvailable()
     finally:
         query.stop()
     assert spark.table("bucket").count() == len(rows)
+    batch = admit(events(spark, rows), "key", "ts", 3, 0.5, tie=["event_id"])
+    told = lambda df: {(r.key, r.event_id, r.ts): (r.allowed, round(r.remaining, 9)) for r in df.collect()}
+    assert told(spark.table("bucket")) == told(batch)
     want = bucket(rows, 3, 0.5)
     assert spark.table("bucket").where("allowed").count() == sum(want.values())
 
