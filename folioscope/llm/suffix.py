@@ -37,6 +37,8 @@ BLOCK, MEET, TOGETHER = 1 << 20, 1 << 18, 12_000
 #: Exact copies up to which their digests go to every executor (40 bytes each);
 #: beyond it the join shuffles.
 SENT = 500_000
+#: Anchors of several strings up to which they go to every executor.
+SENT_ANCHORS = 1_000_000
 #: Strings of one anchor beyond which its windows go separate ways.
 HOT = 8_000
 #: Stands for a null id: larger than any.
@@ -177,48 +179,55 @@ def strings(table: DataFrame, met: DataFrame, groups: int) -> DataFrame:
 
 
 def minima(found: DataFrame, together: int = TOGETHER, hot: int = HOT) -> DataFrame:
-    """``name, minima`` for strings of which a window must go in some document:
+    """``anchor, name, minima`` for strings of which a window must go in some document:
     the smallest id of each window, or one number if it is the same for all.
     ``name`` is the string's XXH64."""
 
     def solve(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("string")
-        anchor, least, most = (group.column(c).to_numpy() for c in ("anchor", "least", "most"))
+        least, most = (group.column(c).to_numpy() for c in ("least", "most"))
         texts = group.column("string").to_pylist()
-        _, which, size = np.unique(anchor, return_inverse=True, return_counts=True)
-        several = np.flatnonzero(size[which] > 1)
-        low = [np.array([x]) for x in least]
-        for i, found in zip(several.tolist(), window_minima([texts[i] for i in several], least[several], WINDOW)):
-            low[i] = found[:1] if (found == found[0]).all() else found
+        low = [x[:1] if (x == x[0]).all() else x for x in window_minima(texts, least, WINDOW)]
         out = [i for i in range(len(texts)) if low[i].min() < most[i]]
         return pa.table({
+            "anchor": group.column("anchor").take(pa.array(out, pa.int64())),
             "name": group.column("name").take(pa.array(out, pa.int64())),
             "minima": pa.array([low[i] for i in out], pa.list_(pa.int64())),
         })
 
     name = F.xxhash64("string").alias("name")
-    once = written(found.groupBy("anchor", "string").agg(F.min("least").alias("least"), F.max("most").alias("most")), "strings")
+    least, most = F.min("least").alias("least"), F.max("most").alias("most")
+    # most anchors have a single string, so its windows all have its smallest id
+    each = written(
+        found.select("anchor", name, "least", "most").groupBy("anchor")
+        .agg(F.min("name").alias("name"), F.max("name").alias("other"), least, most), "anchors",
+    )
+    alone = each.where("name = other and least < most").select("anchor", "name", F.array("least").alias("minima"))
+    several = each.where("name <> other").select("anchor")
+    few = several.count() <= SENT_ANCHORS
+    once = found.join(F.broadcast(several) if few else several, "anchor", "left_semi")
+    once = written(once.groupBy("anchor", "string").agg(least, most), "several")
     many = written(once.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"), "hot")
     groups = max(1, -(-once.count() // together))
 
     def built(rows: DataFrame) -> DataFrame:
         dealt = rows.select(F.pmod("anchor", F.lit(groups)).alias("part"), "anchor", "string", name, "least", "most")
-        return dealt.groupBy("part").applyInArrow(solve, "name bigint, minima array<bigint>")
+        return dealt.groupBy("part").applyInArrow(solve, "anchor bigint, name bigint, minima array<bigint>")
 
     if many.isEmpty():
-        return built(once)
+        return built(once).union(alone)
     # every window of a hot anchor becomes a string of its own, with its own anchor
     cut = F.transform(F.sequence(F.lit(1), F.octet_length("string") - (WINDOW - 1)), lambda i: F.substring("string", i, F.lit(WINDOW)))
-    windows = written(once.join(many, "anchor", "left_semi").select(name, "least", "most", F.posexplode(cut).alias("at", "string")), "windows")
+    windows = written(once.join(many, "anchor", "left_semi").select("anchor", name, "least", "most", F.posexplode(cut).alias("at", "string")), "windows")
     single = windows.groupBy("string").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     solved = built(single.select(F.xxhash64("string").alias("anchor"), "string", "least", "most"))
     solved = solved.select(F.col("name").alias("window"), F.get("minima", F.lit(0)).alias("low"))
     whole = (
         windows.withColumn("window", F.xxhash64("string")).join(solved, "window", "left")
-        .groupBy("name").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("low", "least").alias("low")))).alias("all"))
-        .select("name", F.transform("all", lambda x: x["low"]).alias("minima"))
+        .groupBy("anchor", "name").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("low", "least").alias("low")))).alias("all"))
+        .select("anchor", "name", F.transform("all", lambda x: x["low"]).alias("minima"))
     )
-    return built(once.join(many, "anchor", "left_anti")).union(whole)
+    return built(once.join(many, "anchor", "left_anti")).union(whole).union(alone)
 
 
 def cut_blocks(table: DataFrame, results: DataFrame) -> DataFrame:
@@ -288,7 +297,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = met_anchors(table, groups)
     found = written(strings(table, met, groups), "strings")
     low = written(minima(found, together, hot), "minima")
-    results = found.select("block", "anchor", F.xxhash64("string").alias("name")).join(low, "name")
+    results = found.select("block", "anchor", F.xxhash64("string").alias("name")).join(low, ["anchor", "name"])
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").alias("stop"))).alias("spans")
     nothing = F.lit("").cast("binary").alias("kept")
     return cut_blocks(table, results).union(gone.select("doc_id", F.col("size").alias("n_bytes"), whole, nothing))
