@@ -11,13 +11,18 @@ small, compares exactly and returns only a spanning forest of its links. The
 forests of all shards are joined to components by rounds of min-label stars.
 
 Copies with a similarity of 0.8 lie some ten bits apart, where triangle bounds in
-64 bits prune nothing. ``similar_links`` finds those another way: texts meet by
-fingerprints of a few of their shingles, each meets the first and the last of such
-a group, and a pair counts if the shingle sets really are that similar.
+64 bits prune nothing. ``similar_links`` finds those another way. First texts meet
+by fingerprints of a few of their shingles, each meets the first and the last of
+such a group, and a pair counts if the shingle sets really are that similar. Then
+what that left apart is compared exactly: of two such sets each has one of the
+other's shingles among the first fifth of its own in any common order, so texts of
+different groups that share one there are candidates: pair by pair, bounded by size,
+place and the number of shingles shared, or block by block where many share one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +48,12 @@ PIECE = 1 << 14
 #: keys of a text, and shingles that make a key.
 SIMILARITY, WORDS = 0.8, 5
 KEYS, PICKED = 24, 3
+#: Texts whose shingles show which ones are common, the texts of those that one is
+#: in, and how many are put last in the order. They choose an order only.
+LOOKED, OFTEN, LAST = 8_192, 4, 65_536
+#: Texts that share a first shingle, above which they are compared in blocks, and
+#: shingles of a block.
+HOT, HELD = 32, 250_000
 
 _BITS = np.arange(64, dtype=np.uint64)
 _TURNS = np.random.default_rng(SEED).integers(1 << 63, size=KEYS, dtype=np.uint64) | np.uint64(1)
@@ -290,17 +301,34 @@ def _keys(own: np.ndarray) -> list[int]:
     return out
 
 
+def _prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, so many that a similar set has one of them among
+    its own first: by hash, but those in ``common`` (sorted) last, by ``rank``."""
+    size = len(own) - _least(len(own), similarity) + 1
+    if not len(common):
+        return own[:size]
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    known = common[at] == own
+    plain = own[~known][:size]
+    if len(plain) == size:
+        return plain
+    late = own[known][np.argsort(rank[at[known]])]
+    return np.concatenate([plain, late[: size - len(plain)]])
+
+
+def _least(n: int, similarity: float) -> int:
+    """Shingles that a set of ``n`` shares with a similar one at least."""
+    return max(1, math.ceil(similarity * n - 1e-9))
+
+
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``a, b``: links between documents whose sets of five-word shingles have a
     Jaccard similarity of ``similarity`` or more; copies are linked to the first.
+    They connect the same documents as all such pairs do.
 
-    A text meets at most two others for each of its keys, however many share
-    them. Null ids, and texts without words, take no part."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [_keys(own) if len(own := shingle_set(t.as_py())) else [] for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
+    In the first pass a text meets at most two others for each of its keys; the
+    second one compares what that left in different groups. Null ids, and texts
+    without words, take no part."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -313,24 +341,158 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = named.groupBy("mark", "size").agg(F.min("doc_id").alias("first"))
     same = written(named.join(first, ["mark", "size"]).where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
     once = rows.join(same.select("doc_id"), "doc_id", "left_anti")
-    keys = written(once.mapInArrow(keyed, "doc_id bigint, keys array<bigint>").select("doc_id", F.explode("keys").alias("key")), "keys")
+
+    every = max(1, -(-named.count() // LOOKED))
+    looked = once.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(sets, "doc_id bigint, own array<bigint>")
+    often = looked.select(F.explode("own").alias("token")).groupBy("token").count().where(F.col("count") >= OFTEN)
+    often = often.orderBy(F.desc("count"), "token").limit(LAST).toArrow()
+    common = often.column(0).to_numpy().view(np.uint64)
+    sort = np.argsort(common)
+    common, rank = common[sort], (len(common) - np.arange(len(common)))[sort]
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part, keys, sizes, tokens = b.slice(i, 256), [], [], []
+                for t in part.column(1):
+                    own = shingle_set(t.as_py())
+                    keys.append(_keys(own) if len(own) else [])
+                    sizes.append(len(own))
+                    tokens.append(_prefix(own, common, rank, similarity).view(np.int64) if len(own) else [])
+                of = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(keys, of), pa.array(sizes, pa.int64()), pa.array(tokens, of)], ["doc_id", "keys", "n", "tokens"]
+                )
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of the distinct ``a, b`` whose sets are similar."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        own = written(rows.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id bigint, own array<bigint>"), "sets")
+        left, right = (own.select(F.col("doc_id").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
+        # sizes alone tell most pairs apart before the sets are moved
+        sizes = own.select("doc_id", F.size("own").alias("n"))
+        close = (
+            pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a")
+            .join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
+            .where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
+        )
+        both = F.size(F.array_intersect("own_a", "own_b"))
+        enough = both >= similarity * (F.size("own_a") + F.size("own_b") - both)
+        return written(close.join(left, "a").join(right, "b").where(enough).select("a", "b"), "similar")
+
+    sketch = written(once.mapInArrow(sketched, "doc_id bigint, keys array<bigint>, n bigint, tokens array<bigint>"), "sketches")
+    keys = sketch.select("doc_id", F.explode("keys").alias("key"))
     ends = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     met = keys.join(ends, "key").select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other")
-    pairs = written(met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = written(rows.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id bigint, own array<bigint>"), "sets")
-    left, right = (own.select(F.col("doc_id").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
-    # sizes alone tell most pairs apart before the sets are moved
-    sizes = own.select("doc_id", F.size("own").alias("n"))
-    close = (
-        pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a")
-        .join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
-        .where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
+    found = alike(written(met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), "pairs"))
+    shared = _apart_yet(sketch, found)
+    rest = alike(written(_pairs_apart(shared, similarity), "pairs"))
+    hot = shared.where(F.col("texts") > HOT)
+    named = roots(hot.select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()).withColumnRenamed("point", "doc_id")
+    blocks = named.union(named.select("root", "root")).distinct()
+    own = rows.join(blocks.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id bigint, own array<bigint>")
+    dense = written(_cells(written(own.join(blocks, "doc_id"), "hot"), similarity), "dense")
+    return found.union(rest).union(dense).union(same.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+
+
+def _apart_yet(sketch: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id, n, at, token`` for the first shingles that texts of different
+    groups of the links ``found`` share, with the text's group ``root``, the
+    largest group ``main``, the smallest id ``least`` and the number of ``texts``."""
+    joined = roots(found)
+    heavy = joined.groupBy("root").agg(F.count("*").alias("weight"))
+    group = joined.join(heavy, "root").select(F.col("point").alias("doc_id"), "root", "weight")
+    own = sketch.join(group, "doc_id", "left").select(
+        "doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.coalesce("weight", F.lit(0)).alias("weight"), F.posexplode("tokens").alias("at", "token")
+    )
+    several = own.groupBy("token").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("weight", "root"))["root"].alias("main"),
+        F.min("doc_id").alias("least"), F.count("*").alias("texts"),
+    )
+    several = several.where("low < high").drop("low", "high")
+    return written(own.drop("weight").join(several, "token"), "shared")
+
+
+def _pairs_apart(shared: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: the pairs of different groups that may be similar and share first
+    shingles of at most HOT texts only; others may be among them."""
+    few = shared.where(F.col("texts") <= HOT)
+    columns = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("doc_id", "n", "root", "at")]
+    # of two groups one is not the largest
+    met = few.where("root <> main").select("token", "main", *columns("a")).join(few.select("token", *columns("b")), "token")
+    need = F.ceil(similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    bound = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    met = met.where(
+        (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("doc_id_a") < F.col("doc_id_b")))
+        & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (bound >= need)
     )
-    both = F.size(F.array_intersect("own_a", "own_b"))
-    alike = both >= similarity * (F.size("own_a") + F.size("own_b") - both)
-    found = close.join(left, "a").join(right, "b").where(alike).select("a", "b")
-    return found.union(same.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    one, two = F.struct("doc_id_a", "n_a"), F.struct("doc_id_b", "n_b")
+    as_b = F.struct(F.col("doc_id_b").alias("doc_id_a"), F.col("n_b").alias("n_a")), F.struct(F.col("doc_id_a").alias("doc_id_b"), F.col("n_a").alias("n_b"))
+    turned = F.col("doc_id_a") > F.col("doc_id_b")
+    met = met.select(F.when(turned, as_b[0]).otherwise(one).alias("one"), F.when(turned, as_b[1]).otherwise(two).alias("two"))
+    counted = met.select("one.*", "two.*").groupBy("doc_id_a", "doc_id_b", "n_a", "n_b").agg(F.count("*").alias("both"))
+    # so many at most are beyond a set's first shingles
+    rest = F.ceil(similarity * F.greatest("n_a", "n_b") - 1e-6) - 1
+    return counted.where(F.col("both") + rest >= need).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+
+def forest(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs, as positions: all pairs where
+    ``side`` is 0 for all, else those of a 0 and a 1."""
+    sizes = np.array([len(x) for x in sets])
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = times[token] > 1
+    rows, token = rows[kept], (np.cumsum(times > 1) - 1)[token[kept]]
+    order = np.argsort(token, kind="stable")
+    rows, token = rows[order], token[order]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, PIECE // 4):
+        lo, hi = np.searchsorted(token, [at, at + PIECE // 4])
+        present = np.zeros((len(sets), PIECE // 4), np.float32)
+        present[rows[lo:hi], token[lo:hi] - at] = 1
+        both += present[left] @ present[right].T
+    parent, out = list(range(len(sets))), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    a, b = np.nonzero(both >= similarity * (sizes[left][:, None] + sizes[right][None, :] - both.astype(np.float64)))
+    for x, y in zip(left[a].tolist(), right[b].tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((x, y))
+    return out
+
+
+def _cells(own: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links that connect what all similar pairs inside each ``root`` do,
+    from ``doc_id, root, own``. Every two blocks of a root meet in one task."""
+    slots = own.groupBy("root").agg(F.ceil(F.sum(F.size("own")) / HELD).alias("slots"))
+    dealt = own.join(slots, "root").withColumn("slot", F.pmod(F.xxhash64("doc_id"), "slots"))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)).alias("other")
+    met = dealt.select("root", "doc_id", "own", "slot", other).select(
+        "root", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "doc_id", "own"
+    )
+
+    def solve(key: tuple, cell: pa.Table) -> pa.Table:
+        ids, lists = cell.column("doc_id").to_numpy(), cell.column("own").combine_chunks()
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        side = (cell.column("slot").to_numpy() != key[1].as_py()).astype(int)
+        whole = key[1].as_py() == key[2].as_py()
+        if whole or (side.any() and not side.all()):
+            pairs = forest([values[x:y] for x, y in zip(ends, ends[1:])], side, similarity)
+        else:
+            pairs = []
+        pairs = np.array(pairs, np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+
+    return met.groupBy("root", "i", "j").applyInArrow(solve, "a bigint, b bigint")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

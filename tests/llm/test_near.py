@@ -138,3 +138,35 @@ def test_similar_copies_are_found(spark, docs_of):
     assert all(tuple(sorted(p)) in want for p in got) and groups(got) == groups(want)
     kept = {r.doc_id for r in near.drop_near_duplicates(df).collect()}
     assert kept >= {ids[k] for k, g in enumerate(groups(want)) if k == g} - {2}
+
+
+def test_original_of_middle_id_meets_all_copies(spark, docs_of):
+    """1000 copies of 0.85 to the original, less than 0.8 to each other; the
+    original's id is neither first nor last."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(604)]
+    shingles = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    own, rows = shingles(words), [(5_000, " ".join(words))]
+    for i in range(1000):
+        copy, places = words[:], rng.sample(range(1, 60), 10)
+        for k in places:
+            copy[10 * k] = f"c{i}x{k}"
+        theirs = shingles(copy)
+        assert len(own & theirs) >= 0.8 * len(own | theirs)
+        rows.append((4_500 + i if i < 500 else 4_501 + i, " ".join(copy)))
+    links = [(r.a, r.b) for r in near.similar_links(docs_of(rows)).collect()]
+    place = {d: k for k, (d, _) in enumerate(rows)}
+    assert set(brute_of(rows, [(place[a], place[b]) for a, b in links])) == {0}
+
+
+def test_first_shingles_of_similar_sets_meet():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(1, 80))
+        a = np.unique(rng.integers(0, 1 << 40, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 40, n // 8).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        common = np.unique(rng.choice(a, len(a) // 2))
+        rank = rng.permutation(len(common))
+        if both and both >= 0.8 * (len(a) + len(b) - both):
+            assert len(np.intersect1d(near._prefix(a, common, rank, 0.8), near._prefix(b, common, rank, 0.8)))
