@@ -1,9 +1,10 @@
-"""Incremental corpus: a stream of new papers keeps the graph up to date.
+"""Incremental corpus: a stream of papers, new or changed, keeps the graph up to date.
 
-Each micro-batch extracts its papers, adds only entities the graph does not hold
-yet, and matches new references against all titles and old references against
-new titles. Output is Parquet in one folder per batch; a replayed batch
-overwrites its own folder and reads only earlier ones, so it is idempotent.
+Each micro-batch extracts its papers anew and matches their references against all
+titles and the references of all other papers against their titles. Output is
+Parquet in one folder per batch; a replayed batch overwrites its own folder and
+reads only earlier ones, so it is idempotent. A paper's rows are those of the
+newest batch that holds it: ``table`` leaves out what a later version replaced.
 """
 
 from __future__ import annotations
@@ -15,30 +16,48 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioscope import schemas
 from folioscope.operators.citations import MIN_TITLE_LENGTH, citation_match
 from folioscope.operators.extraction import extract_knowledge
-from folioscope.operators.graph import citation_edges, resolve_edges, resolve_entities
+from folioscope.operators.graph import paper_entity_id, resolve_edges, resolve_entities
 from folioscope.operators.structure import assemble_pages, segment_sections, split_references
 
-TITLES = "paper_id STRING, title STRING, abstract STRING, ord BIGINT"
+TITLES = "paper_id STRING, title STRING, abstract STRING, ord BIGINT, version BIGINT"
 
 
 @dataclass
 class CorpusRefresher:
     """foreachBatch target. Input rows: (paper_id, title, abstract, ord, pages
-    ARRAY<STRUCT<page_no INT, text STRING>>)."""
+    ARRAY<STRUCT<page_no INT, text STRING>>).
+
+    The version of a paper with the largest ``version``, a whole number, counts,
+    and among equal ones the one of the newest batch; inside a batch the one whose
+    content sorts last."""
 
     root: str
+    version: str = "ord"
     min_title_length: int = MIN_TITLE_LENGTH
     options: dict = field(default_factory=dict)
 
     def _earlier(self, spark: SparkSession, table: str, schema: str, batch_id: int) -> DataFrame:
-        """Rows of batches before this one; schema-only where nothing is written yet."""
+        """Rows that count of batches before this one; schema-only where nothing is written yet."""
         path = f"{self.root}/{table}"
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
         if not fs.exists(folder):
             return spark.createDataFrame([], schema)
         stored = spark.read.schema(f"{schema}, batch_id BIGINT").parquet(path)
-        return stored.where(F.col("batch_id") < batch_id).drop("batch_id")
+        return self._current(stored.where(F.col("batch_id") < batch_id), batch_id).drop("batch_id")
+
+    def _current(self, rows: DataFrame, before: int | None = None) -> DataFrame:
+        """Rows whose paper, and the paper they cite, have no later version."""
+        stored = rows.sparkSession.read.schema(f"{TITLES}, batch_id BIGINT").parquet(f"{self.root}/papers")
+        if before is not None:
+            stored = stored.where(F.col("batch_id") < before)
+        newest = stored.groupBy("paper_id").agg(F.max("batch_id").alias("newest"))
+        columns = rows.columns
+        rows = rows.join(newest, "paper_id").where("batch_id >= newest").drop("newest")
+        if "cited_paper_id" in columns:
+            cited = newest.withColumnsRenamed({"paper_id": "cited_paper_id", "newest": "cited_newest"})
+            rows = rows.join(cited, "cited_paper_id", "left").where("cited_newest is null or batch_id >= cited_newest")
+        return rows.select(*columns)
 
     def _write(self, df: DataFrame, table: str, batch_id: int) -> DataFrame:
         path = f"{self.root}/{table}/batch_id={batch_id}"
@@ -49,24 +68,26 @@ class CorpusRefresher:
         spark = batch.sparkSession
         old_titles = self._earlier(spark, "papers", TITLES, batch_id)
         old_refs = self._earlier(spark, "references", schemas.REFERENCES, batch_id)
-        old_entities = self._earlier(spark, "entities", schemas.ENTITIES, batch_id)
 
-        fresh = batch.dropDuplicates(["paper_id"]).join(
-            old_titles.select("paper_id"), "paper_id", "left_anti"
-        )
+        content = [F.to_json(F.struct(c)) for c in ("title", "abstract", "ord", "pages")]
+        order = F.struct(F.col(self.version).cast("bigint").alias("version"), *content)
+        kept = F.struct("title", "abstract", "ord", "pages", F.col(self.version).cast("bigint").alias("version"))
+        last = batch.groupBy("paper_id").agg(F.max_by(kept, order).alias("last")).select("paper_id", "last.*")
+        known = old_titles.select("paper_id", F.col("version").alias("known"))
+        fresh = last.join(known, "paper_id", "left").where("known is null or version is null or version >= known").drop("known")
         pages = fresh.select("paper_id", F.explode("pages").alias("p")).select(
             "paper_id", "p.page_no", "p.text"
         )
         # written before use: later steps read files, not the source again
-        papers = self._write(fresh.select("paper_id", "title", "abstract", "ord"), "papers", batch_id)
+        papers = self._write(fresh.select("paper_id", "title", "abstract", "ord", "version"), "papers", batch_id)
         self._write(assemble_pages(pages), "full_text", batch_id)
         sections = self._write(segment_sections(pages), "sections", batch_id)
         references = self._write(split_references(sections), "references", batch_id)
 
         raw_entities, raw_edges = extract_knowledge(sections, papers, **self.options)
-        self._write(
-            resolve_entities(raw_entities, papers, existing=old_entities), "entities", batch_id
-        )
+        raw_entities = self._write(raw_entities, "mentions", batch_id)
+        old_titles = old_titles.join(papers.select("paper_id"), "paper_id", "left_anti")
+        old_refs = old_refs.join(papers.select("paper_id"), "paper_id", "left_anti")
         all_titles = old_titles.unionByName(papers)
         match = lambda refs, titles: citation_match(
             refs.select("paper_id", "reference_id", "raw_text"),
@@ -78,12 +99,19 @@ class CorpusRefresher:
             "paper_id", "source_entity_id", "target_entity_id", "relationship_type", "evidence",
             "confidence",
         ]
-        edges = resolve_edges(raw_edges, raw_entities, papers).select(*edge_columns)
-        self._write(
-            edges.unionByName(citation_edges(cited, all_titles).select(*edge_columns)),
-            "relationships",
-            batch_id,
+        # a citation also names the paper it cites: it goes with either's next version
+        edges = resolve_edges(raw_edges, raw_entities, papers).select(*edge_columns, F.lit(None).cast("string").alias("cited_paper_id"))
+        titles = all_titles.select("paper_id", paper_entity_id(F.col("title")).alias("source_entity_id"))
+        cites = cited.join(titles, "paper_id").select(
+            "paper_id", "source_entity_id", paper_entity_id(F.col("cited_title")).alias("target_entity_id"),
+            F.lit("cites").alias("relationship_type"), F.col("cited_title").alias("evidence"),
+            F.col("match_confidence").alias("confidence"), "cited_paper_id",
         )
+        self._write(edges.unionByName(cites), "relationships", batch_id)
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.root}/{name}")
+        """The rows that count of all batches. ``entities`` are resolved from the
+        mentions of all papers, so one that no paper names any more is gone."""
+        if name == "entities":
+            return resolve_entities(self.table(spark, "mentions").drop("batch_id"), self.table(spark, "papers"))
+        return self._current(spark.read.parquet(f"{self.root}/{name}"))

@@ -167,3 +167,22 @@ def test_refresh_equals_whole_run(spark, tmp_path):
     last = target.table(spark, "papers").where(F.col("batch_id") == max(batches)).first().paper_id
     target(spark.createDataFrame([p for p in PAPERS if p[0] == last], SHAPE), max(batches))
     assert edges(target.table(spark, "relationships")) == edges(whole["relationships"])
+
+
+def test_refresh_replaces_changed_papers(spark, tmp_path):
+    """A new title and text of p0, an older version that comes late, a replay."""
+    changed = ("p0", "Mixing Graphs Anew Today", None, 0, [(0, "Methodology\nWe propose NodeBlend.\nReferences\n[1] Z. Later Survey of Graphs. 2018.")])
+    cites = ("p1", PAPERS[1][1], None, 1, [(0, PAPERS[1][4][0][1] + "\n[3] X. Mixing graphs anew today. 2019.")])
+    target = CorpusRefresher(str(tmp_path / "out"), version="version")
+    shape = SHAPE + ", version BIGINT"
+    of = lambda rows: spark.createDataFrame(rows, shape)
+    batches = [of([(*PAPERS[0], 1), (*cites, 5)]), of([(*PAPERS[2], 1)]), of([(*PAPERS[0], 2), (*changed, 3)]), of([(*PAPERS[1], 4)])]
+    for k in (0, 1, 2, 2, 3):
+        target(batches[k], k)
+    df = spark.createDataFrame([changed, cites, PAPERS[2]], SHAPE)
+    papers = df.drop("pages").withColumn("published_at", F.lit(None).cast("timestamp"))
+    whole = run_corpus(spark, papers, df.select("paper_id", F.explode("pages").alias("p")).select("paper_id", "p.*"), str(tmp_path / "whole"), "graphs")
+    rows = lambda d, *c: sorted(map(str, d.select(*c).collect()))
+    for name, columns in (("entities", ["entity_id", "source_paper_id"]), ("relationships", ["source_entity_id", "target_entity_id", "relationship_type"])):
+        assert rows(target.table(spark, name), *columns) == rows(whole[name], *columns)
+    assert rows(target.table(spark, "papers"), "title") == rows(df, "title")
