@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from folioscope.session import settle
+
 
 def running_total(
     df: DataFrame,
@@ -61,3 +63,22 @@ def first_k(
     map-side (WindowGroupLimit) before the shuffle, so a hot key sends k rows per task."""
     ranked = df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col(out) <= k)
+
+
+def enumerated(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """All rows numbered from 0 along ``order``, without gaps. Range partitions are
+    sorted and written with their places; the partitions' sizes, one row each, give
+    every partition its first number."""
+    at = settle(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    )
+    part = F.shiftright("_at", 33)  # how Spark composes these numbers
+    sizes = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    first = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
+    return (
+        at.withColumn("_part", part)
+        .join(first, "_part")
+        .withColumn(out, F.col("_first") + F.col("_at").bitwiseAND((1 << 33) - 1))
+        .drop("_part", "_at", "_first")
+    )

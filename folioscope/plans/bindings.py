@@ -610,6 +610,46 @@ def recommend_full(spark, sf):
     return overlap.with_empty(named, orders).withColumn("shared_concepts", F.array_join("shared_concepts", ","))
 
 
+def recommend_suppliers(spark, sf):
+    """Orders as papers, suppliers as their concepts."""
+    rows = lineitem(spark, sf).select(
+        F.col("l_orderkey").alias("paper_id"),
+        F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("paper_title"),
+        F.col("l_orderkey").alias("ord"),
+        F.lit("dataset").alias("kind"),
+        F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("concept"),
+    )
+    return overlap.recommend(rows)
+
+
+def _customer_concepts(spark, sf, *names: Column) -> DataFrame:
+    """Customers as papers, two of a title; each line gives one of the names."""
+    title = F.concat(F.lit("customer "), F.floor(F.col("c_custkey") / 2).cast("string"))
+    people = table(spark, sf, "customer").select(F.col("c_custkey").alias("paper_id"), title.alias("paper_title"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("paper_id"))
+    home = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    return lineitem(spark, sf).join(home, "l_suppkey").join(orders, "l_orderkey").join(people, "paper_id").select(
+        "paper_id", "paper_title", F.col("paper_id").alias("ord"),
+        F.when(F.col("l_linestatus") == "F", "method").otherwise("dataset").alias("kind"),
+        F.explode(F.array(*names)).alias("concept"),
+    )
+
+
+def recommend_customers(spark, sf):
+    """Parts, and return flags that nearly all customers share."""
+    part = F.concat(F.lit("part "), F.col("l_partkey").cast("string"))
+    return overlap.recommend(_customer_concepts(spark, sf, part, F.concat(F.lit("flag "), "l_returnflag")))
+
+
+def impact_customers(spark, sf):
+    """Nations of suppliers: a customer has dozens of these popular concepts."""
+    nation = F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))
+    rows = _customer_concepts(spark, sf, nation)
+    papers = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("paper_id"), F.concat(F.lit("customer "), F.floor(F.col("c_custkey") / 2).cast("string")).alias("paper_title"))
+    return overlap.impact(rows, papers)
+
+
 def knowledge_summary(spark, sf):
     lines = lineitem(spark, sf)
     part = F.concat(F.lit("part "), F.col("l_partkey").cast("string"))
@@ -912,7 +952,8 @@ QUERIES = {
         paper_subgraph_nodes, nodes_by_type, graph_edges_merged, citation_match, citation_edges,
         claim_figures, contradictions, contradiction_figures, gap_underexplored, gap_unevaluated,
         benchmark_timeline, timeline_points, novelty_overlap, novelty_score, low_novelty,
-        impact_score, paper_analysis, missing_citations, recommend_topk, recommend_full, knowledge_summary,
+        impact_score, paper_analysis, missing_citations, recommend_topk, recommend_full,
+        recommend_suppliers, recommend_customers, impact_customers, knowledge_summary,
         review_lines, run_totals, unify_sources, search_payloads, feed_entries, parse_responses,
         coalesce_extractions, ingest_todo, upsert_papers, status_funnel, paper_detail, paper_cards,
         list_papers, request_counts, request_latency, status_breakdown, request_rate_5m,

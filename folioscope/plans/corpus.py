@@ -21,7 +21,7 @@ from folioscope.operators.figures import claim_figures, contradictions, timeline
 from folioscope.operators.gaps import gaps, missing_citations
 from folioscope.operators.graph import citation_edges, resolve_edges, resolve_entities
 from folioscope.operators.novelty import novelty
-from folioscope.operators.overlap import recommend, shared_concepts
+from folioscope.operators.overlap import recommend, shared_concepts, with_empty
 from folioscope.operators.report import review_lines, run_totals
 from folioscope.operators.structure import segment_sections, split_references
 from folioscope.sources.responses import coalesce_extractions, parse_responses, parsed_papers
@@ -84,7 +84,7 @@ def run_corpus(
         "timelines": timelines(figures),
         "analyses": paper_analysis(knowledge),
         "missing_citations": missing_citations(concepts, paper_cites(knowledge)),
-        "recommendations": shared_concepts(recommended, concepts),
+        "recommendations": with_empty(shared_concepts(recommended, concepts), knowledge),
         "review": review_lines(query, knowledge),
         "totals": run_totals(
             discovered=papers,

@@ -427,6 +427,34 @@ ranked AS (
          row_number() OVER (PARTITION BY o ORDER BY round(shared::DOUBLE / n, 2) DESC, r) AS position
   FROM pairs JOIN own USING (o))
 SELECT o AS paper_id, position, r AS recommended_id, 'order ' || r AS recommended_title, shared, score FROM ranked WHERE position <= 3""",
+    "recommend_suppliers": """
+WITH c AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS p FROM lineitem),
+own AS (SELECT o, count(*) AS n FROM c GROUP BY 1),
+pairs AS (SELECT a.o, b.o AS r, count(*) AS shared FROM c a JOIN c b ON a.p = b.p AND a.o <> b.o GROUP BY 1, 2),
+ranked AS (
+  SELECT o, r, shared, round(shared::DOUBLE / n, 2) AS score,
+         row_number() OVER (PARTITION BY o ORDER BY round(shared::DOUBLE / n, 2) DESC, r) AS position
+  FROM pairs JOIN own USING (o))
+SELECT o AS paper_id, position, r AS recommended_id, 'order ' || r AS recommended_title, shared, score FROM ranked WHERE position <= 3""",
+    "recommend_customers": """
+WITH line AS (SELECT o_custkey AS o, o_custkey // 2 AS title, l_partkey, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+c AS (SELECT DISTINCT o, title, 'part ' || l_partkey AS p FROM line UNION SELECT DISTINCT o, title, 'flag ' || l_returnflag FROM line),
+own AS (SELECT o, count(*) AS n FROM c GROUP BY 1),
+pairs AS (SELECT a.o, b.o AS r, b.title, count(*) AS shared FROM c a JOIN c b ON a.p = b.p AND a.title <> b.title GROUP BY 1, 2, 3),
+ranked AS (
+  SELECT o, r, title, shared, round(shared::DOUBLE / n, 2) AS score,
+         row_number() OVER (PARTITION BY o ORDER BY round(shared::DOUBLE / n, 2) DESC, r) AS position
+  FROM pairs JOIN own USING (o))
+SELECT o AS paper_id, position, r AS recommended_id, 'customer ' || title AS recommended_title, shared, score FROM ranked WHERE position <= 3""",
+    "impact_customers": """
+WITH c AS (
+  SELECT DISTINCT o_custkey AS p, o_custkey // 2 AS title, s_nationkey AS s, l_linestatus AS st
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey),
+pairs AS (SELECT DISTINCT a.p, b.p AS q FROM c a JOIN c b ON a.s = b.s AND a.st = b.st AND a.title <> b.title),
+shared AS (SELECT p, count(*) AS shared_with FROM pairs GROUP BY 1)
+SELECT c_custkey AS paper_id, coalesce(shared_with, 0) AS shared_with,
+       round(coalesce(shared_with, 0)::DOUBLE / greatest((SELECT count(*) FROM customer) - 1, 1), 2) AS impact_score
+FROM customer LEFT JOIN shared ON p = c_custkey""",
     "recommend_full": """
 WITH c AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
 own AS (SELECT o, count(*) AS n FROM c GROUP BY 1),

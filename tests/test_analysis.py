@@ -121,16 +121,18 @@ def brute_recommend(rows, k):
     return out
 
 
-@pytest.mark.parametrize("hot,subset", [(10_000, 10), (0, 10), (12, 2)])
-def test_overlap_equals_all_pairs(spark, hot, subset):
+@pytest.mark.parametrize("popular", [0, 8, 14, 30, 64])
+def test_overlap_equals_all_pairs(spark, monkeypatch, popular):
+    monkeypatch.setattr(overlap, "RANGE", 16)
+    monkeypatch.setattr(overlap, "SETS", 4)
     rows = random_papers(11)
     k = knowledge(spark, rows)
     concepts = analysis.paper_concepts(k)
     got = {r.paper_id: r.shared_with for r in overlap.impact(
-        concepts, k.select("paper_id", "paper_title"), hot_papers=hot, max_subset=subset).collect()}
+        concepts, k.select("paper_id", "paper_title"), popular=popular).collect()}
     assert got == brute_impact(rows)
     recs = {}
-    for r in overlap.recommend(concepts, 3, hot_papers=hot, max_subset=subset).orderBy("paper_id", "position").collect():
+    for r in overlap.recommend(concepts, 3, popular=popular).orderBy("paper_id", "position").collect():
         recs.setdefault(r.paper_id, []).append((r.recommended_id, r.shared))
     assert recs == {p: v for p, v in brute_recommend(rows, 3).items() if v}
 

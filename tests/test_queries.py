@@ -1,6 +1,9 @@
 """Registered queries: SQL twins agree at the smallest scale, plans stay joinable."""
 
+import pathlib
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -9,6 +12,8 @@ from folioscope.plans.bindings import QUERIES
 from folioscope.plans.oracle import ORACLE
 from tools.compare import compare, connect
 
+ROOT = pathlib.Path(__file__).resolve().parents[1]
+
 # one of every kind here; tools/compare.py runs all of them
 SAMPLE = ["vocab_match", "segment_turns", "bm25_topk", "citation_match", "timeline_points",
           "recommend_topk", "token_bucket", "upsert_papers"]
@@ -25,6 +30,14 @@ def test_sql_twin(spark, small, name):
     assert same, text
 
 
+@pytest.mark.parametrize("hidden", ["zstandard", "folioscope.llm", "corpus_pipeline"])
+def test_core_stays_without_the_training_data_part(hidden):
+    code = (f"import sys; sys.modules[{hidden!r}] = None; import __spark_entry__ as e; "
+            "assert e.queries() and not any(n.startswith('op') for n in e.queries()); print(len(e.queries()))")
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=True)
+    assert int(ran.stdout) == len(QUERIES) and "left out" in ran.stderr
+
+
 def test_entry(spark):
     assert entry(spark).count() == 10
 

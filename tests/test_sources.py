@@ -124,7 +124,7 @@ def test_listing_detail_cards(spark):
                                      "paper_id STRING, order_index INT, heading STRING, section_type STRING, page_start INT, page_end INT, content STRING")
     refs = spark.createDataFrame([("p1", 0, "raw", 2017)], "paper_id STRING, order_index INT, raw_text STRING, parsed_year INT")
     detail = {r.paper_id: r for r in report.paper_detail(papers, bridge, people, sections, refs).collect()}
-    assert detail["p0"].authors == ["Y", "X"] and len(detail["p0"].sections) == 2 and detail["p0"].references is None
+    assert detail["p0"].authors == ["Y", "X"] and len(detail["p0"].sections) == 2 and detail["p0"].references == []
     assert len(detail) == 5 and detail["p1"].references[0].parsed_year == 2017
     (preview,) = report.section_previews(sections).collect()
     assert len(preview.preview) == 2001 and preview.preview.endswith("…")
