@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import written
+from folioscope.llm.common import discard, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -51,10 +51,11 @@ KEYS, PICKED = 24, 3
 #: Texts whose shingles show which ones are common, the texts of those that one is
 #: in, and how many are put last in the order. They choose an order only.
 LOOKED, OFTEN, LAST = 8_192, 4, 65_536
-#: Texts that share a first shingle, above which they are compared in blocks, and
-#: shingles of a block.
+#: Texts outside its largest group that share a first shingle, above which all that
+#: share it are compared in blocks, and shingles of a block.
 HOT, HELD = 32, 250_000
 
+SKETCH = "doc_id bigint, keys array<bigint>, n bigint, tokens array<bigint>"
 _BITS = np.arange(64, dtype=np.uint64)
 _TURNS = np.random.default_rng(SEED).integers(1 << 63, size=KEYS, dtype=np.uint64) | np.uint64(1)
 
@@ -301,19 +302,19 @@ def _keys(own: np.ndarray) -> list[int]:
     return out
 
 
-def _prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+def _prefix(own: np.ndarray, late: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a set, so many that a similar set has one of them among
-    its own first: by hash, but those in ``common`` (sorted) last, by ``rank``."""
+    its own first: by hash, but those in ``late`` last, in its order."""
     size = len(own) - _least(len(own), similarity) + 1
-    if not len(common):
+    if not len(late):
         return own[:size]
-    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-    known = common[at] == own
+    order = np.argsort(late)
+    at = np.minimum(np.searchsorted(late, own, sorter=order), len(late) - 1)
+    known = late[order[at]] == own
     plain = own[~known][:size]
     if len(plain) == size:
         return plain
-    late = own[known][np.argsort(rank[at[known]])]
-    return np.concatenate([plain, late[: size - len(plain)]])
+    return np.concatenate([plain, late[np.sort(order[at[known]])][: size - len(plain)]])
 
 
 def _least(n: int, similarity: float) -> int:
@@ -342,27 +343,58 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same = written(named.join(first, ["mark", "size"]).where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
     once = rows.join(same.select("doc_id"), "doc_id", "left_anti")
 
-    every = max(1, -(-named.count() // LOOKED))
-    looked = once.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(sets, "doc_id bigint, own array<bigint>")
-    often = looked.select(F.explode("own").alias("token")).groupBy("token").count().where(F.col("count") >= OFTEN)
-    often = often.orderBy(F.desc("count"), "token").limit(LAST).toArrow()
-    common = often.column(0).to_numpy().view(np.uint64)
-    sort = np.argsort(common)
-    common, rank = common[sort], (len(common) - np.arange(len(common)))[sort]
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part, keys, sizes, tokens = b.slice(i, 256), [], [], []
-                for t in part.column(1):
-                    own = shingle_set(t.as_py())
-                    keys.append(_keys(own) if len(own) else [])
-                    sizes.append(len(own))
-                    tokens.append(_prefix(own, common, rank, similarity).view(np.int64) if len(own) else [])
-                of = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(keys, of), pa.array(sizes, pa.int64()), pa.array(tokens, of)], ["doc_id", "keys", "n", "tokens"]
-                )
+    def frequent(sample: DataFrame) -> np.ndarray:
+        """The shingles that are in most texts of a sample, in rising order."""
+        counted = sample.mapInArrow(sets, "doc_id bigint, own array<bigint>").select(F.explode("own").alias("token")).groupBy("token").count()
+        top = counted.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "token").limit(LAST).toArrow()
+        return top.column(0).to_numpy().view(np.uint64)[::-1]
+
+    def part_of(texts: DataFrame, n: int, looked: int) -> DataFrame:
+        return texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // looked)))) == 0)
+
+    late = frequent(part_of(once, named.count(), LOOKED))
+
+    def sketched(late: np.ndarray, with_keys: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(0, b.num_rows, 256):
+                    part, keys, sizes, tokens = b.slice(i, 256), [], [], []
+                    for t in part.column(1):
+                        own = shingle_set(t.as_py())
+                        keys.append(_keys(own) if with_keys and len(own) else [])
+                        sizes.append(len(own))
+                        tokens.append(_prefix(own, late, similarity).view(np.int64) if len(own) else [])
+                    of = pa.list_(pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(keys, of), pa.array(sizes, pa.int64()), pa.array(tokens, of)], ["doc_id", "keys", "n", "tokens"]
+                    )
+
+        return run
+
+    def settled(sketch: DataFrame, joined: DataFrame) -> DataFrame:
+        """``doc_id, n, tokens`` in an order where shingles that crowd the first
+        places of texts of different groups come last of all. Only texts that have
+        one of these among their first get new ones: for others nothing moves."""
+        inside = joined.where("point <> root").select(F.col("point").alias("doc_id"))
+        apart = sketch.join(inside, "doc_id", "left_anti").select("doc_id", F.explode("tokens").alias("token"))
+        crowded = apart.groupBy("token").count().where(F.col("count") > HOT).select("token")
+        touched = written(apart.join(crowded, "token", "left_semi").select("doc_id").distinct(), "touched")
+        more = frequent(part_of(once.join(touched, "doc_id", "left_semi"), touched.count(), 4 * LOOKED))
+        more = more[~np.isin(more, late)]
+        signed = np.sort(more.view(np.int64))
+
+        def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = b.column(1)
+                hit = np.isin(lists.flatten().to_numpy(), signed)
+                rows = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                yield b.select(["doc_id"]).take(pa.array(np.unique(rows[hit])))
+
+        changed = written(sketch.select("doc_id", "tokens").mapInArrow(moved, "doc_id bigint").distinct(), "changed")
+        again = once.join(changed, "doc_id", "left_semi").mapInArrow(sketched(np.concatenate([late, more]), False), SKETCH).drop("keys")
+        out = written(sketch.join(changed, "doc_id", "left_anti").select("doc_id", "n", "tokens").union(again), "settled")
+        discard(touched, changed)
+        return out
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the distinct ``a, b`` whose sets are similar."""
@@ -378,28 +410,36 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
         both = F.size(F.array_intersect("own_a", "own_b"))
         enough = both >= similarity * (F.size("own_a") + F.size("own_b") - both)
-        return written(close.join(left, "a").join(right, "b").where(enough).select("a", "b"), "similar")
+        out = written(close.join(left, "a").join(right, "b").where(enough).select("a", "b"), "similar")
+        discard(own, pairs)
+        return out
 
-    sketch = written(once.mapInArrow(sketched, "doc_id bigint, keys array<bigint>, n bigint, tokens array<bigint>"), "sketches")
+    sketch = written(once.mapInArrow(sketched(late, True), SKETCH), "sketches")
     keys = sketch.select("doc_id", F.explode("keys").alias("key"))
     ends = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     met = keys.join(ends, "key").select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other")
     found = alike(written(met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), "pairs"))
-    shared = _apart_yet(sketch, found)
+    joined = roots(found)
+    first = settled(sketch, joined)
+    discard(sketch)
+    shared = _apart_yet(first, joined)
+    discard(first)
     rest = alike(written(_pairs_apart(shared, similarity), "pairs"))
-    hot = shared.where(F.col("texts") > HOT)
+    hot = shared.where(F.col("strays") > HOT)
     named = roots(hot.select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()).withColumnRenamed("point", "doc_id")
     blocks = named.union(named.select("root", "root")).distinct()
     own = rows.join(blocks.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id bigint, own array<bigint>")
-    dense = written(_cells(written(own.join(blocks, "doc_id"), "hot"), similarity), "dense")
+    held = written(own.join(blocks, "doc_id"), "hot")
+    dense = written(_cells(held, similarity), "dense")
+    discard(held, shared)
     return found.union(rest).union(dense).union(same.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
 
 
-def _apart_yet(sketch: DataFrame, found: DataFrame) -> DataFrame:
+def _apart_yet(sketch: DataFrame, joined: DataFrame) -> DataFrame:
     """``doc_id, n, at, token`` for the first shingles that texts of different
-    groups of the links ``found`` share, with the text's group ``root``, the
-    largest group ``main``, the smallest id ``least`` and the number of ``texts``."""
-    joined = roots(found)
+    groups ``joined`` so far share, with the text's group ``root``, the
+    largest group ``main``, the smallest id ``least`` and the number of texts outside
+    the largest group, ``strays``."""
     heavy = joined.groupBy("root").agg(F.count("*").alias("weight"))
     group = joined.join(heavy, "root").select(F.col("point").alias("doc_id"), "root", "weight")
     own = sketch.join(group, "doc_id", "left").select(
@@ -407,16 +447,20 @@ def _apart_yet(sketch: DataFrame, found: DataFrame) -> DataFrame:
     )
     several = own.groupBy("token").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("weight", "root"))["root"].alias("main"),
-        F.min("doc_id").alias("least"), F.count("*").alias("texts"),
+        F.min("doc_id").alias("least"),
     )
     several = several.where("low < high").drop("low", "high")
-    return written(own.drop("weight").join(several, "token"), "shared")
+    met = written(own.drop("weight").join(several, "token"), "met")
+    strays = met.where("root <> main").groupBy("token").agg(F.count("*").alias("strays"))
+    shared = written(met.join(strays, "token"), "shared")
+    discard(met)
+    return shared
 
 
 def _pairs_apart(shared: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: the pairs of different groups that may be similar and share first
-    shingles of at most HOT texts only; others may be among them."""
-    few = shared.where(F.col("texts") <= HOT)
+    """``a, b``: the pairs of different groups that may be similar and share only
+    first shingles of at most HOT strays; others may be among them."""
+    few = shared.where(F.col("strays") <= HOT)
     columns = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("doc_id", "n", "root", "at")]
     # of two groups one is not the largest
     met = few.where("root <> main").select("token", "main", *columns("a")).join(few.select("token", *columns("b")), "token")

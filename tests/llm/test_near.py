@@ -167,6 +167,32 @@ def test_first_shingles_of_similar_sets_meet():
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 40, n // 8).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
         common = np.unique(rng.choice(a, len(a) // 2))
-        rank = rng.permutation(len(common))
+        late = rng.permutation(common)
         if both and both >= 0.8 * (len(a) + len(b) - both):
-            assert len(np.intersect1d(near._prefix(a, common, rank, 0.8), near._prefix(b, common, rank, 0.8)))
+            assert len(np.intersect1d(near._prefix(a, late, 0.8), near._prefix(b, late, 0.8)))
+
+
+def test_shared_passages_crowd_the_first_shingles(spark, docs_of, monkeypatch):
+    """Hundreds of texts share passages, so that their first shingles are crowded
+    until these come last; near copies among them are still found."""
+    monkeypatch.setattr(near, "HOT", 4)
+    monkeypatch.setattr(near, "OFTEN", 2)
+    monkeypatch.setattr(near, "LOOKED", 8)
+    monkeypatch.setattr(near, "LAST", 300)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passages = [[word() for _ in range(60)] for _ in range(3)]
+    texts = []
+    for i in range(150):
+        body = [word() for _ in range(rng.randint(20, 120))] + rng.choice(passages)
+        texts.append(" ".join(body))
+        if i % 5 == 0:  # similar ones, changed near the end
+            texts += [" ".join([*body[: -k - 1], word(), *body[-k:]]) for k in (1, 2, 3)[: rng.randint(1, 3)]]
+    texts += [" ".join(passages[0] + [word()]) for _ in range(12)]
+    sets = [set(near.shingle_set(t).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = near.roots(near.similar_links(docs_of(list(enumerate(texts))))).collect()
+    label = {r.point: r.root for r in got}
+    want = brute_of(texts, pairs)
+    groups = lambda f: sorted(sorted(i for i in range(len(texts)) if f(i) == r) for r in {f(i) for i in range(len(texts))})
+    assert groups(lambda i: label.get(i, i)) == groups(lambda i: want[i])
