@@ -80,6 +80,42 @@ def _within_keys(words: Column, length: int) -> Column:
     )
 
 
+def _lengths(min_title_length: int) -> tuple[int, int]:
+    return max(1, min_title_length // 2), max(1, min_title_length)
+
+
+def reference_keys(words: Column, min_title_length: int = MIN_TITLE_LENGTH) -> Column:
+    """All keys by which the words of a reference can be found."""
+    half, length = _lengths(min_title_length)
+    return F.concat(_inner_keys(words), _pair_keys(words, half), _within_keys(words, length))
+
+
+def _short_key(norm: Column, words: Column, min_title_length: int) -> Column:
+    """The key of a title of one or two words."""
+    half, length = _lengths(min_title_length)
+    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    return (
+        F.when(F.size(words) == 1, F.xxhash64(F.lit("within"), F.left(norm, F.lit(length))))
+        .when(
+            F.length(first) >= half,
+            F.xxhash64(F.lit("left"), F.right(first, F.lit(half)), F.left(second, F.lit(1))),
+        )
+        .otherwise(F.xxhash64(F.lit("right"), F.right(first, F.lit(1)), F.left(second, F.lit(half))))
+    )
+
+
+def title_key(norm: Column, min_title_length: int = MIN_TITLE_LENGTH) -> Column:
+    """One key that every reference holding the title has, whatever else the corpus
+    holds: of the longest inner word, the first of several. For key tables that
+    outlive a run, where counts of words would change under them."""
+    words = F.split(norm, " ")
+    at = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.struct(F.length(F.get(words, i)).alias("n"), (-i).alias("i"))
+    )
+    longest = -F.array_max(at)["i"]
+    return F.when(F.size(words) >= 3, _inner_key(words, longest)).otherwise(_short_key(norm, words, min_title_length))
+
+
 def citation_match(
     references: DataFrame, papers: DataFrame, min_title_length: int = MIN_TITLE_LENGTH
 ) -> DataFrame:
@@ -89,10 +125,8 @@ def citation_match(
     A reference is never matched to its own paper. Equal titles are matched once
     and expanded at the end.
     """
-    half = max(1, min_title_length // 2)
-    length = max(1, min_title_length)
     titled = papers.select("paper_id", "title", normalize_title(F.col("title")).alias("norm")).where(
-        F.length("norm") >= length
+        F.length("norm") >= max(1, min_title_length)
     )
     titles = titled.select("norm").distinct().withColumn("words", F.split("norm", " "))
     n = F.size("words")
@@ -102,14 +136,7 @@ def citation_match(
         "reference_id", F.split(normalize_title(F.col("raw_text")), " ").alias("words")
     )
     ref_keys = ref_words.select(
-        "reference_id",
-        F.explode(
-            F.concat(
-                _inner_keys(F.col("words")),
-                _pair_keys(F.col("words"), half),
-                _within_keys(F.col("words"), length),
-            )
-        ).alias("key"),
+        "reference_id", F.explode(reference_keys(F.col("words"), min_title_length)).alias("key")
     )
 
     inner = titles.where(n >= 3).select(
@@ -130,19 +157,7 @@ def citation_match(
         .where(F.col("absent") == 0)
         .select("norm", "key")
     )
-    first, second = F.get("words", F.lit(0)), F.get("words", F.lit(1))
-    short = titles.where(n <= 2).select(
-        "norm",
-        F.when(n == 1, F.xxhash64(F.lit("within"), F.left("norm", F.lit(length))))
-        .when(
-            F.length(first) >= half,
-            F.xxhash64(F.lit("left"), F.right(first, F.lit(half)), F.left(second, F.lit(1))),
-        )
-        .otherwise(
-            F.xxhash64(F.lit("right"), F.right(first, F.lit(1)), F.left(second, F.lit(half)))
-        )
-        .alias("key"),
-    )
+    short = titles.where(n <= 2).select("norm", _short_key(F.col("norm"), F.col("words"), min_title_length).alias("key"))
     candidates = (
         ref_keys.join(rarest.unionByName(short), "key").select("reference_id", "norm").distinct()
     )

@@ -142,7 +142,7 @@ def test_whole_corpus(spark, tmp_path):
     (clash,) = out["contradictions"].collect()
     assert clash.dataset == "Cora" and clash.spread == 24.2
     assert out["missing_citations"].count() == 0
-    assert {(r.paper_id, r.recommended_id) for r in out["recommendations"].collect()} == {("p0", "p1"), ("p1", "p0")}
+    assert {(r.paper_id, r.recommended_id) for r in out["recommendations"].collect()} == {("p0", "p1"), ("p1", "p0"), ("p2", None)}
     assert out["analyses"].count() == 3 and out["review"].count() > 10
     assert {r.stage: r.rows for r in out["totals"].collect()}["discovered"] == 3
 
@@ -151,7 +151,7 @@ def test_refresh_equals_whole_run(spark, tmp_path):
     for i, row in enumerate(PAPERS):
         spark.createDataFrame([row], SHAPE).coalesce(1).write.parquet(str(tmp_path / f"in/part={i}"))
     stream = (spark.readStream.schema(SHAPE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/part=*")))
-    target = CorpusRefresher(str(tmp_path / "out"))
+    target = CorpusRefresher(str(tmp_path / "out"), shards=8)
     query = stream.writeStream.foreachBatch(target).option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         query.processAllAvailable()
@@ -173,7 +173,7 @@ def test_refresh_replaces_changed_papers(spark, tmp_path):
     """A new title and text of p0, an older version that comes late, a replay."""
     changed = ("p0", "Mixing Graphs Anew Today", None, 0, [(0, "Methodology\nWe propose NodeBlend.\nReferences\n[1] Z. Later Survey of Graphs. 2018.")])
     cites = ("p1", PAPERS[1][1], None, 1, [(0, PAPERS[1][4][0][1] + "\n[3] X. Mixing graphs anew today. 2019.")])
-    target = CorpusRefresher(str(tmp_path / "out"), version="version")
+    target = CorpusRefresher(str(tmp_path / "out"), version="version", shards=8)
     shape = SHAPE + ", version BIGINT"
     of = lambda rows: spark.createDataFrame(rows, shape)
     batches = [of([(*PAPERS[0], 1), (*cites, 5)]), of([(*PAPERS[2], 1)]), of([(*PAPERS[0], 2), (*changed, 3)]), of([(*PAPERS[1], 4)])]
@@ -186,3 +186,25 @@ def test_refresh_replaces_changed_papers(spark, tmp_path):
     for name, columns in (("entities", ["entity_id", "source_paper_id"]), ("relationships", ["source_entity_id", "target_entity_id", "relationship_type"])):
         assert rows(target.table(spark, name), *columns) == rows(whole[name], *columns)
     assert rows(target.table(spark, "papers"), "title") == rows(df, "title")
+    target.compact(spark, 3)
+    for name, columns in (("entities", ["entity_id", "source_paper_id"]), ("relationships", ["source_entity_id", "target_entity_id", "relationship_type"])):
+        assert rows(target.table(spark, name), *columns) == rows(whole[name], *columns)
+    assert target.table(spark, "papers").count() == 3
+    runs = {str(f.parent) for f in (tmp_path / "out" / "papers").rglob("*.parquet")}
+    assert all(r.endswith("run=m3") for r in runs)
+    # a paper that cites merged ones
+    later = ("p9", "Surveying the Surveys", None, 9, [(0, "References\n[1] Z. Later Survey of Graphs. 2018.\n[2] Mixing graphs anew today.")], 1)
+    target(of([later]), 4)
+    found = target.table(spark, "relationships").where("paper_id = 'p9' and relationship_type = 'cites'")
+    assert rows(found, "evidence") == ["Row(evidence='Later Survey of Graphs')", "Row(evidence='Mixing Graphs Anew Today')"]
+
+
+def test_refresh_reads_what_the_batch_touches(spark, tmp_path):
+    target = CorpusRefresher(str(tmp_path / "out"), shards=64)
+    shape = "paper_id STRING, title STRING, abstract STRING, ord BIGINT, version BIGINT, batch_id BIGINT"
+    stored = spark.createDataFrame([(f"s{i}", f"Stored Paper Number {i} of Many", None, i, 1, 0) for i in range(300)], shape)
+    target._store(stored, "papers", "b0")
+    whole = target._open(spark, "papers").inputFiles()
+    one = target.earlier(spark.createDataFrame([("s7",)], "paper_id STRING"), "papers", 1)
+    assert len(one.inputFiles()) == 1 < 50 < len(whole) and [r.title for r in one.collect()] == ["Stored Paper Number 7 of Many"]
+    assert target.earlier(spark.createDataFrame([("s7",)], "paper_id STRING"), "papers", 0).count() == 0
