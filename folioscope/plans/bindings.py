@@ -768,18 +768,25 @@ def feed_entries(spark, sf):
 
 
 def _event_responses(spark, sf):
-    """Event properties as extraction responses; signups answer with prose."""
+    """Event properties as extraction responses; signups answer with prose, and
+    clicks of two kinds go on after their object."""
     k = F.get_json_object("props", "$.k")
-    body = F.concat(
-        F.lit('```json\n{"methods": [{"name": "k'), k, F.lit('", "description": "'), F.col("event_type"),
+    answer = F.concat(
+        F.lit('{"methods": [{"name": "k'), k, F.lit('", "description": "'), F.col("event_type"),
         F.lit('"}, {"name": ""}], "claims": [{"description": ""}, {"description": "value '), k,
-        F.lit('"}]}\n```'),
+        F.lit('"}]}'),
     )
+    fenced = F.concat(F.lit("```json\n"), answer, F.lit("\n```"))
+    odd = F.col("event_id") % 10
     return spread(table(spark, sf, "events"), "event_id").select(
         F.col("event_id").alias("paper_id"),
         F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("title"),
         F.col("event_id").alias("paper_ord"),
-        F.when(F.col("event_type") == "signup", "no idea").otherwise(body).alias("response"),
+        F.when(F.col("event_type") == "signup", "no idea")
+        .when((F.col("event_type") == "click") & (odd == 1), F.concat(answer, F.lit("] trailing prose")))
+        .when((F.col("event_type") == "click") & (odd == 2), F.concat(answer, F.lit('] [{"x": 1}')))
+        .when((F.col("event_type") == "click") & (odd == 3), F.concat(answer, F.lit(', "x": {}')))
+        .otherwise(fenced).alias("response"),
         "value",
     )
 

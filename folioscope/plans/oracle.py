@@ -246,14 +246,15 @@ md AS (
 
 _RESPONSES = """
 resp AS (
-  SELECT event_id AS paper_id, event_type, value, json_extract_string(props, '$.k') AS k FROM events),
+  SELECT event_id AS paper_id, event_type, value, json_extract_string(props, '$.k') AS k,
+         event_type = 'signup' OR (event_type = 'click' AND event_id % 10 IN (1, 2, 3)) AS unanswered FROM events),
 facts AS (
   SELECT paper_id, 0 AS ord, 'method' AS entity_type, 'proposes' AS relationship_type, 'k' || k AS name,
          event_type AS description, event_type AS evidence, 'llm' AS extraction_method, 0.85::DOUBLE AS confidence
-  FROM resp WHERE event_type <> 'signup'
+  FROM resp WHERE NOT unanswered
   UNION ALL
   SELECT paper_id, 1, 'claim', 'mentions', 'event ' || paper_id || ' — claim 2', 'value ' || k, 'value ' || k, 'llm', 0.85::DOUBLE
-  FROM resp WHERE event_type <> 'signup')"""
+  FROM resp WHERE NOT unanswered)"""
 
 _LABELLED = """
 papers AS (
@@ -527,7 +528,7 @@ WITH {_RESPONSES}
 SELECT * FROM facts
 UNION ALL
 SELECT paper_id, 0, 'metric', 'mentions', 'value ' || CAST(trunc(value) AS BIGINT), NULL,
-       'value ' || CAST(trunc(value) AS BIGINT), 'heuristic', 0.6::DOUBLE FROM resp WHERE event_type = 'signup'""",
+       'value ' || CAST(trunc(value) AS BIGINT), 'heuristic', 0.6::DOUBLE FROM resp WHERE unanswered""",
     "ingest_todo": """
 SELECT doc_id AS arxiv_id, source FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)""",

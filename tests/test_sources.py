@@ -149,3 +149,15 @@ def test_upsert_takes_the_last_of_equal_rows(spark):
     incoming = spark.createDataFrame([("a", "new", "pending", 9), ("b", "second", "pending", 2), ("b", "zz first", "pending", 1)], schema)
     got = {r.arxiv_id: r.title for r in catalog.upsert_papers(papers, incoming, order=["at"]).collect()}
     assert got == {"a": "done", "b": "second"}
+
+
+@pytest.mark.parametrize("after, answered", [
+    ("", True), ("  \n", True), ("] trailing prose", False), ('] [{"x": 1}', False), ("} trailing", False), (', "x": {}', False),
+    (', {"x": 1}', False), (" trailing", False), ("}", False), ("]", False), (', "r": 1}', False),
+])
+def test_only_a_whole_object_is_an_answer(spark, after, answered):
+    body = '{"methods": [{"name": "M", "description": "d"}]}' + after
+    df = spark.createDataFrame([("p", "T", 0, body), ("q", "T", 1, f"```json\n{body}\n```")], "paper_id STRING, title STRING, paper_ord INT, response STRING")
+    want = {"p", "q"} if answered else set()
+    assert {r.paper_id for r in responses.parse_responses(df).collect()} == want
+    assert {r.paper_id for r in responses.parsed_papers(df).collect()} == want
