@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscope.functions import text as T
@@ -19,8 +21,9 @@ from folioscope.operators import (
     structure,
 )
 from folioscope.plans.oracle import CUES, METRIC_WORDS, NAME_WORD, NUMBER, PHRASE, WORDS
-from folioscope.session import settle
+from folioscope.session import checkpoint_dir, settle
 from folioscope.sources import catalog, feeds, responses
+from folioscope.sources.store import PaperStore
 from folioscope.sources.tables import spread, table
 from folioscope.streaming import admission, requests
 
@@ -842,6 +845,30 @@ def upsert_papers(spark, sf):
     return catalog.upsert_papers(papers, incoming)
 
 
+def upsert_store(spark, sf):
+    """A store of labelled documents, their lines as sections, takes in a run of every
+    second document, of which every sixth now has no lines."""
+    folder = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    store = PaperStore(f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}", shards=16)
+    first = _labelled(spark, sf).where(F.col("extraction_status") != "not_started")
+    text = table(spark, sf, "documents").select(F.col("doc_id").alias("arxiv_id"), F.split("text", "\n").alias("lines"))
+    line = text.select("arxiv_id", F.posexplode("lines").alias("order_index", "content"))
+    short = line.select("arxiv_id", F.col("order_index").alias("order_index"), F.md5("content").alias("content"))
+    refs = text.select("arxiv_id", F.lit(0).alias("order_index"), F.element_at("lines", -1).alias("raw_text"))
+    store.upsert(first, short, refs.withColumn("raw_text", F.md5("raw_text")))
+    again = table(spark, sf, "documents").where("doc_id % 2 = 0").select(
+        F.col("doc_id").alias("arxiv_id"), F.upper("lang").alias("lang"), F.lit("completed").alias("extraction_status"))
+    store.upsert(
+        again, short.where("arxiv_id % 6 != 0").withColumn("content", F.concat(F.lit("new "), "content")),
+        refs.withColumn("raw_text", F.lit("new")),
+    )
+    sections = store.table(short, "sections").groupBy("arxiv_id").agg(
+        F.count(F.lit(1)).alias("sections"), F.md5(F.concat_ws(",", F.transform(
+            F.array_sort(F.collect_list(F.struct("order_index", "content"))), lambda s: s["content"]))).alias("digest"))
+    cited = store.table(refs, "references").groupBy("arxiv_id").agg(F.max("raw_text").alias("reference"))
+    return store.table(first, "papers").join(sections, "arxiv_id", "left").join(cited, "arxiv_id", "left")
+
+
 def status_funnel(spark, sf):
     return report.status_funnel(_labelled(spark, sf))
 
@@ -962,7 +989,7 @@ QUERIES = {
         impact_score, paper_analysis, missing_citations, recommend_topk, recommend_full,
         recommend_suppliers, recommend_customers, impact_customers, knowledge_summary,
         review_lines, run_totals, unify_sources, search_payloads, feed_entries, parse_responses,
-        coalesce_extractions, ingest_todo, upsert_papers, status_funnel, paper_detail, paper_cards,
+        coalesce_extractions, ingest_todo, upsert_papers, upsert_store, status_funnel, paper_detail, paper_cards,
         list_papers, request_counts, request_latency, status_breakdown, request_rate_5m,
         error_rate_5m, latency_avg_5m, requests_24h, token_bucket,
     ]

@@ -536,6 +536,24 @@ WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality =
 WITH {_LABELLED}
 SELECT arxiv_id, CASE WHEN extraction_status = 'completed' THEN lang ELSE upper(lang) END AS lang,
        CASE WHEN extraction_status = 'completed' THEN 'completed' ELSE 'downloading' END AS extraction_status FROM papers""",
+    "upsert_store": f"""
+WITH {_LABELLED},
+old AS (SELECT * FROM papers WHERE extraction_status <> 'not_started'),
+run AS (SELECT doc_id AS arxiv_id, upper(lang) AS lang FROM documents WHERE doc_id % 2 = 0),
+now AS (
+  SELECT arxiv_id, lang, extraction_status, false AS taken FROM old
+  WHERE extraction_status = 'completed' OR arxiv_id NOT IN (SELECT arxiv_id FROM run)
+  UNION ALL
+  SELECT arxiv_id, lang, 'completed', true FROM run
+  WHERE arxiv_id NOT IN (SELECT arxiv_id FROM old WHERE extraction_status = 'completed')),
+line AS (SELECT doc_id AS arxiv_id, string_split(text, chr(10)) AS lines FROM documents),
+part AS (
+  SELECT arxiv_id, len(lines)::BIGINT AS sections, list_transform(lines, lambda x: CASE WHEN taken THEN 'new ' ELSE '' END || md5(x)) AS kept,
+         CASE WHEN taken THEN 'new' ELSE md5(lines[-1]) END AS reference, taken AND arxiv_id % 6 = 0 AS bare
+  FROM now JOIN line USING (arxiv_id))
+SELECT now.arxiv_id, lang, extraction_status, CASE WHEN NOT bare THEN sections END AS sections,
+       CASE WHEN NOT bare THEN md5(array_to_string(kept, ',')) END AS digest, reference
+FROM now LEFT JOIN part USING (arxiv_id)""",
     "status_funnel": f"WITH {_LABELLED} SELECT extraction_status, count(*) AS papers FROM papers GROUP BY 1",
     "paper_detail": """
 SELECT o_orderkey AS paper_id, o_orderpriority AS title, coalesce(string_agg(s_name, ';' ORDER BY l_linenumber, s_name), '') AS authors,

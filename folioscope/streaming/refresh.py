@@ -23,6 +23,7 @@ from folioscope.operators.citations import MIN_TITLE_LENGTH, citation_match, ref
 from folioscope.operators.extraction import extract_knowledge
 from folioscope.operators.graph import paper_entity_id, resolve_edges, resolve_entities
 from folioscope.operators.structure import assemble_pages, segment_sections, split_references
+from folioscope.sources.store import listed, remove
 
 # Tables in shards: the column that deals them out, and their other columns.
 SHARDED = {
@@ -49,14 +50,6 @@ class CorpusRefresher:
     options: dict = field(default_factory=dict)
     shards: int = SHARDS
 
-    def _folder(self, spark: SparkSession, path: str):
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
-        return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
-
-    def _listed(self, spark: SparkSession, path: str) -> list[str]:
-        fs, folder = self._folder(spark, path)
-        return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-
     def _shard(self, column: Column) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(self.shards)).cast("int")
 
@@ -69,9 +62,9 @@ class CorpusRefresher:
 
     def _runs(self, spark: SparkSession, table: str, shards: set[int] | None, before: int | None) -> list[str]:
         """The folders of a table's shards, or of some, that batches before one left."""
-        names = [n for n in self._listed(spark, table) if n.startswith("shard=")]
+        names = [n for n in listed(spark, f"{self.root}/{table}") if n.startswith("shard=")]
         names = [n for n in names if shards is None or int(n[6:]) in shards]
-        runs = [f"{table}/{n}/{r}" for n in names for r in self._listed(spark, f"{table}/{n}") if r.startswith("run=")]
+        runs = [f"{table}/{n}/{r}" for n in names for r in listed(spark, f"{self.root}/{table}/{n}") if r.startswith("run=")]
         return [r for r in runs if before is None or int(r.rpartition("run=")[2][1:]) < before]
 
     def _open(self, spark: SparkSession, table: str, shards: set[int] | None = None, before: int | None = None) -> DataFrame:
@@ -190,8 +183,7 @@ class CorpusRefresher:
             self._store(rows.join(standing, "paper_id").where("batch_id = newest").drop("newest"), table, merged)
             for run in self._runs(spark, table, None, up_to + 1):
                 if not run.endswith(f"run={merged}"):
-                    fs, folder = self._folder(spark, run)
-                    fs.delete(folder, True)
+                    remove(spark, f"{self.root}/{run}")
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         """The rows that count of all batches. ``entities`` are resolved from the

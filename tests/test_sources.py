@@ -161,3 +161,32 @@ def test_only_a_whole_object_is_an_answer(spark, after, answered):
     want = {"p", "q"} if answered else set()
     assert {r.paper_id for r in responses.parse_responses(df).collect()} == want
     assert {r.paper_id for r in responses.parsed_papers(df).collect()} == want
+
+
+def test_store_rewrites_only_touched_shards(spark, tmp_path):
+    from folioscope.sources.store import PaperStore
+
+    store = PaperStore(str(tmp_path / "store"), "id", shards=32)
+    papers = lambda rows: spark.createDataFrame(rows, "id STRING, title STRING, extraction_status STRING")
+    parts = lambda rows: spark.createDataFrame(rows, "id STRING, at INT, body STRING")
+    many = [f"p{i}" for i in range(60)]
+    store.upsert(papers([(p, "T", "completed" if k % 2 else "failed") for k, p in enumerate(many)]),
+                 parts([(p, k, "old") for p in many for k in range(2)]), parts([(p, 0, "ref") for p in many]))
+    files = lambda: {f: (f.stat().st_mtime_ns, f.read_bytes()) for f in (tmp_path / "store").rglob("*.parquet")}
+    before = files()
+    # a failed one, a completed one, a new one, one that now has no parts; parts of a paper not named
+    run = papers([("p0", "New", "completed"), ("p1", "New", "completed"), ("q", "Q", "failed"), ("p2", "Bare", "completed"), (None, "x", "failed")])
+    store.upsert(run, parts([("p0", 0, "new"), ("p1", 0, "new"), ("q", 0, "new"), ("p4", 0, "stray")]), parts([("p0", 0, "new")]))
+    after = files()
+    touched = {f"shard={r.s}" for r in run.where("id is not null").selectExpr("pmod(xxhash64(id), 32) AS s").collect()}
+    assert {f: v for f, v in before.items() if f.parent.name not in touched} == {f: v for f, v in after.items() if f.parent.name not in touched}
+    assert len(touched) <= 4 < len({f.parent.name for f in after})
+    rows = {r.id: r for r in store.table(run, "papers").collect()}
+    assert len(rows) == 61 and rows["p0"].title == "New" and rows["p1"].title == "T" and rows["p0"].extraction_status == "completed"
+    bodies = {}
+    for r in store.table(parts([("a", 0, "")]), "sections").collect():
+        bodies.setdefault(r.id, []).append(r.body)
+    assert bodies["p0"] == ["new"] and bodies["p1"] == bodies["p4"] == ["old", "old"] and bodies["q"] == ["new"] and "p2" not in bodies
+    assert {r.id for r in store.table(parts([("a", 0, "")]), "references").collect()} == set(many) - {"p2"}
+    store.upsert(run.limit(0), parts([]), parts([]))
+    assert store.table(run, "papers").count() == 61
