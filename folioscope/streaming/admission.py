@@ -4,19 +4,24 @@ A bucket starts full, refills at a fixed rate up to its capacity, and admits an
 event by paying its cost; a rejected event pays nothing. The decision depends on
 all earlier decisions of the key, which no built-in aggregate expresses, so the
 fold itself runs in Python over Arrow batches. Spark partitions and sorts.
+
+A stream runs the same fold on every micro-batch and hands the buckets on: a key's
+events are sorted by Spark, cut where its bucket is surely full, and pass through
+workers piece by piece, however many of them one micro-batch holds.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioscope.operators.ordering import running_total
+from folioscope.sources.store import listed, remove
 
 # Python workers get the fold itself, so they need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -66,7 +71,7 @@ def _episodes(
         .select(key, "_slice", F.lag("_end").over(W.partitionBy(key).orderBy("_slice")).alias("_before"))
     )
     earlier = F.lag("_us").over(W.partitionBy(key, "_slice").orderBy(*order))
-    timed = sliced.join(ends, [key, "_slice"]).withColumn("_last", F.coalesce(earlier, F.col("_before")))
+    timed = sliced.join(ends, [key, "_slice"]).withColumn("_last", F.coalesce(earlier, F.col("_before"), F.col("_last_us")))
     pause = (F.col("_us") - F.col("_last")) / 1e6
     full = F.when(pause * rate >= capacity, 1).otherwise(0)
     numbered = running_total(
@@ -86,17 +91,26 @@ def admit(
     cost: float = 1.0,
     tie: list[str] | None = None,
     slice_seconds: int = SLICE_SECONDS,
+    buckets: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``allowed`` and ``remaining`` to every event of a batch table.
 
     Keys are cut into independent episodes that go to different tasks. Inside a
     task the sorted rows stream through the fold batch by batch with one bucket
     of state, so no group is ever held in memory. ``key`` must not be null.
+    ``buckets`` (key, _tokens, _last_us) are what earlier events left; keys without
+    one start full.
     """
     _check(capacity, refill_per_second)
     capacity, rate = float(capacity), float(refill_per_second)
     order = ["_us", *(tie or [])]
-    episodes = _episodes(_with_micros(events, ts), key, order, capacity, rate, slice_seconds)
+    timed = _with_micros(events, ts)
+    if buckets is None:
+        empty = {"_tokens": F.lit(None).cast("double"), "_last_us": F.lit(None).cast("bigint")}
+        timed = timed.withColumns(empty)
+    else:
+        timed = timed.join(buckets, key, "left")
+    episodes = _episodes(timed, key, order, capacity, rate, slice_seconds)
     columns = [*events.columns, "allowed", "remaining"]
     schema = (
         ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
@@ -117,6 +131,8 @@ def admit(
                     stop += 1
                 if keys[start] != current:
                     tokens, last, current = capacity, None, keys[start]
+                    if keys[start][1] == 0 and pd.notna(batch["_last_us"].iloc[start]):
+                        tokens, last = float(batch["_tokens"].iloc[start]), int(batch["_last_us"].iloc[start])
                 ok, left, tokens, last = spend(micros[start:stop], tokens, last, capacity, rate, cost)
                 allowed += ok
                 remaining += left
@@ -130,50 +146,63 @@ def admit(
     )
 
 
-def admit_stream(
-    events: DataFrame,
-    key: str,
-    ts: str,
-    capacity: float,
-    refill_per_second: float,
-    cost: float = 1.0,
-    lateness: str = "10 minutes",
-    tie: list[str] | None = None,
-) -> DataFrame:
-    """The same over a stream: all event columns with ``allowed`` and ``remaining``,
-    by event time and then ``tie`` within each micro-batch. A bucket idle long
-    enough to be full is dropped from state; an absent bucket is a full one, so
-    nothing changes. A key's events of one micro-batch are sorted in memory: bound
-    them by the source's trigger options."""
-    _check(capacity, refill_per_second)
-    capacity, rate = float(capacity), float(refill_per_second)
-    idle_ms = int(capacity / rate * 1000) + 1
-    columns = [*events.columns, "allowed", "remaining"]
-    out = (
-        ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-        + ", allowed boolean, remaining double"
-    )
-
-    def step(
-        name: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["_us", *(tie or [])], kind="stable")
-        tokens, last = state.get if state.exists else (capacity, None)
-        allowed, remaining, tokens, last = spend(
-            rows["_us"].tolist(), tokens, last, capacity, rate, cost
-        )
-        state.update((tokens, last))
-        # a timeout must lie beyond the watermark
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + idle_ms)
-        yield rows.assign(allowed=allowed, remaining=remaining)[columns]
-
-    return (
-        _with_micros(events.withWatermark(ts, lateness), ts)
-        .groupBy(key)
-        .applyInPandasWithState(
-            step, out, "tokens double, last bigint", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+@dataclass
+class AdmissionStream:
+    """foreachBatch target: decisions on a stream's events, by event time and then
+    ``tie`` within each micro-batch, as Parquet under ``root``.
+
+    Every batch reads the buckets that the one before left and writes its own. A
+    bucket is left out once it is full again at the latest event time less
+    ``lateness``: an absent bucket is a full one, so nothing changes, and what is
+    handed on follows the keys in use. A replayed batch reads the same buckets
+    again and overwrites its folders. Event rows of null keys are left out."""
+
+    root: str
+    key: str
+    ts: str
+    capacity: float
+    refill_per_second: float
+    cost: float = 1.0
+    lateness_seconds: float = 600.0
+    tie: list[str] = field(default_factory=list)
+    slice_seconds: int = SLICE_SECONDS
+
+    def __post_init__(self) -> None:
+        _check(self.capacity, self.refill_per_second)
+
+    def _buckets(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """What the newest earlier batch left: key, _tokens, _last_us, _newest_us."""
+        spark, path = batch.sparkSession, f"{self.root}/buckets"
+        kind = batch.schema[self.key].dataType.simpleString()
+        schema = f"`{self.key}` {kind}, _tokens DOUBLE, _last_us BIGINT, _newest_us BIGINT"
+        earlier = [n for n in map(_number, listed(spark, path)) if n is not None and n < batch_id]
+        for old in sorted(earlier)[:-1]:
+            remove(spark, f"{path}/batch_id={old}")
+        return spark.read.schema(schema).parquet(f"{path}/batch_id={max(earlier)}") if earlier else spark.createDataFrame([], schema)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = self._buckets(batch, batch_id)
+        path = f"{self.root}/decisions/batch_id={batch_id}"
+        events = batch.where(F.col(self.key).isNotNull())
+        admit(
+            events, self.key, self.ts, self.capacity, self.refill_per_second, self.cost, self.tie, self.slice_seconds,
+            known.drop("_newest_us"),
+        ).write.mode("overwrite").parquet(path)
+        decided = _with_micros(spark.read.parquet(path), self.ts)
+        last = F.max_by(F.struct(F.col("remaining").alias("_tokens"), F.col("_us").alias("_last_us")), F.struct("_us", *self.tie))
+        now = decided.groupBy(self.key).agg(last.alias("b"), F.max("_us").alias("_newest_us")).select(self.key, "b.*", "_newest_us")
+        live = known.join(now.select(self.key), self.key, "left_anti").unionByName(now)
+        newest = live.agg(F.max("_newest_us")).first()[0]
+        full_at = F.col("_last_us") + (self.capacity / self.refill_per_second) * 1e6
+        # one row with the latest time stays even if its bucket is full
+        kept = live.where((full_at > F.lit(newest) - self.lateness_seconds * 1e6) | (F.col("_newest_us") == newest))
+        kept.write.mode("overwrite").parquet(f"{self.root}/buckets/batch_id={batch_id}")
+
+    def decisions(self, spark: SparkSession) -> DataFrame:
+        """All events so far with ``allowed`` and ``remaining``."""
+        return spark.read.parquet(f"{self.root}/decisions").drop("batch_id")
+
+
+def _number(name: str) -> int | None:
+    return int(name[9:]) if name.startswith("batch_id=") else None

@@ -8,7 +8,7 @@ from folioscope import schemas
 from folioscope.operators.ordering import numbered, running_total
 from folioscope.plans.corpus import run_corpus
 from folioscope.streaming import requests
-from folioscope.streaming.admission import admit, admit_stream
+from folioscope.streaming.admission import AdmissionStream, admit
 from folioscope.streaming.refresh import CorpusRefresher
 
 T0 = dt.datetime(2024, 1, 1)
@@ -86,24 +86,33 @@ def test_bucket_equals_sequential_fold(spark, slice_seconds):
 
 
 def test_bucket_stream(spark, tmp_path):
+    rng, now = random.Random(8), 0
     rows = [("a", sec(i // 2), i) for i in range(40)] + [("b", sec(i * 7), 100 + i) for i in range(10)]
-    for part in range(2):
-        half = [r for r in rows if (r[1] >= sec(10)) == bool(part)]
-        events(spark, half).coalesce(1).write.parquet(str(tmp_path / f"in/part={part}"))
+    for i in range(600):  # a key with most events, with and without pauses
+        now += rng.choice([0, 0, 0, 1, 9])
+        rows.append(("hot", sec(now // 10), 200 + i))
+    steps = sorted({r[1] for r in rows})
+    for part in range(4):
+        own = [r for r in rows if steps.index(r[1]) * 4 // len(steps) == part]
+        events(spark, [*own, (None, own[0][1], -1)]).coalesce(1).write.parquet(str(tmp_path / f"in/part={part}"))
     stream = (spark.readStream.schema("key STRING, ts TIMESTAMP, event_id BIGINT").option("maxFilesPerTrigger", 1)
               .option("latestFirst", "false").parquet(str(tmp_path / "in/part=*")))
-    query = (admit_stream(stream, "key", "ts", 3, 0.5, tie=["event_id"]).writeStream.format("memory").queryName("bucket")
-             .option("checkpointLocation", str(tmp_path / "cp")).start())
+    target = AdmissionStream(str(tmp_path / "out"), "key", "ts", 3, 0.5, lateness_seconds=0, tie=["event_id"], slice_seconds=5)
+    query = stream.writeStream.foreachBatch(target).option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         query.processAllAvailable()
     finally:
         query.stop()
-    assert spark.table("bucket").count() == len(rows)
     batch = admit(events(spark, rows), "key", "ts", 3, 0.5, tie=["event_id"])
-    told = lambda df: {(r.key, r.event_id, r.ts): (r.allowed, round(r.remaining, 9)) for r in df.collect()}
-    assert told(spark.table("bucket")) == told(batch)
-    want = bucket(rows, 3, 0.5)
-    assert spark.table("bucket").where("allowed").count() == sum(want.values())
+    told = lambda df: {(r.key, r.event_id, r.ts): (r.allowed, round(r.remaining, 9)) for r in df.collect()}
+    assert target.decisions(spark).count() == len(rows)
+    assert told(target.decisions(spark)) == told(batch)
+    assert batch.where("allowed").count() == sum(bucket(rows, 3, 0.5).values())
+    # the last batch once more; a bucket that is full again is not handed on
+    target(spark.read.schema("key STRING, ts TIMESTAMP, event_id BIGINT").parquet(str(tmp_path / "in/part=3")), 3)
+    assert told(target.decisions(spark)) == told(batch)
+    left = {r.key for r in spark.read.parquet(str(tmp_path / "out/buckets/batch_id=3")).collect()}
+    assert left == {"hot"}
 
 
 def test_blocked_numbering_equals_window(spark):
