@@ -55,6 +55,8 @@ LOOKED, OFTEN, LAST = 8_192, 4, 65_536
 #: share it are compared in blocks, and shingles of a block.
 HOT, HELD = 32, 250_000
 
+#: Hash slots by which texts that a join does not need are told before it.
+SLOTS = 1 << 20
 SKETCH = "doc_id bigint, keys array<bigint>, n bigint, tokens array<bigint>"
 _BITS = np.arange(64, dtype=np.uint64)
 _TURNS = np.random.default_rng(SEED).integers(1 << 63, size=KEYS, dtype=np.uint64) | np.uint64(1)
@@ -302,19 +304,25 @@ def _keys(own: np.ndarray) -> list[int]:
     return out
 
 
-def _prefix(own: np.ndarray, late: np.ndarray, similarity: float) -> np.ndarray:
+def ordered(late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles sorted for lookups, and the place of each in ``late``."""
+    places = np.argsort(late)
+    return late[places], places
+
+
+def _prefix(own: np.ndarray, common: np.ndarray, places: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a set, so many that a similar set has one of them among
-    its own first: by hash, but those in ``late`` last, in its order."""
+    its own first: by hash, but those in ``common`` (sorted) last, by ``places``."""
     size = len(own) - _least(len(own), similarity) + 1
-    if not len(late):
+    if not len(common):
         return own[:size]
-    order = np.argsort(late)
-    at = np.minimum(np.searchsorted(late, own, sorter=order), len(late) - 1)
-    known = late[order[at]] == own
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    known = common[at] == own
     plain = own[~known][:size]
     if len(plain) == size:
         return plain
-    return np.concatenate([plain, late[np.sort(order[at[known]])][: size - len(plain)]])
+    late = own[known][np.argsort(places[at[known]])]
+    return np.concatenate([plain, late[: size - len(plain)]])
 
 
 def _least(n: int, similarity: float) -> int:
@@ -343,18 +351,20 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same = written(named.join(first, ["mark", "size"]).where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
     once = rows.join(same.select("doc_id"), "doc_id", "left_anti")
 
-    def frequent(sample: DataFrame) -> np.ndarray:
-        """The shingles that are in most texts of a sample, in rising order."""
+    def frequent(texts: DataFrame, n: int, least: int = 0) -> np.ndarray:
+        """The shingles of most texts in a sample of ``n`` texts, in rising order;
+        such as are in ``least`` of all, if the sample shows it."""
+        every = max(1, -(-n // LOOKED))
+        sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
         counted = sample.mapInArrow(sets, "doc_id bigint, own array<bigint>").select(F.explode("own").alias("token")).groupBy("token").count()
-        top = counted.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "token").limit(LAST).toArrow()
+        top = counted.where(F.col("count") >= max(OFTEN, least // every)).orderBy(F.desc("count"), "token").limit(LAST).toArrow()
         return top.column(0).to_numpy().view(np.uint64)[::-1]
 
-    def part_of(texts: DataFrame, n: int, looked: int) -> DataFrame:
-        return texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // looked)))) == 0)
-
-    late = frequent(part_of(once, named.count(), LOOKED))
+    late = frequent(once, named.count())
 
     def sketched(late: np.ndarray, with_keys: bool):
+        order = ordered(late)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(0, b.num_rows, 256):
@@ -363,7 +373,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         own = shingle_set(t.as_py())
                         keys.append(_keys(own) if with_keys and len(own) else [])
                         sizes.append(len(own))
-                        tokens.append(_prefix(own, late, similarity).view(np.int64) if len(own) else [])
+                        tokens.append(_prefix(own, *order, similarity).view(np.int64) if len(own) else [])
                     of = pa.list_(pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), pa.array(keys, of), pa.array(sizes, pa.int64()), pa.array(tokens, of)], ["doc_id", "keys", "n", "tokens"]
@@ -371,35 +381,43 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         return run
 
-    def settled(sketch: DataFrame, joined: DataFrame) -> DataFrame:
-        """``doc_id, n, tokens`` in an order where shingles that crowd the first
-        places of texts of different groups come last of all. Only texts that have
-        one of these among their first get new ones: for others nothing moves."""
-        inside = joined.where("point <> root").select(F.col("point").alias("doc_id"))
-        apart = sketch.join(inside, "doc_id", "left_anti").select("doc_id", F.explode("tokens").alias("token"))
-        crowded = apart.groupBy("token").count().where(F.col("count") > HOT).select("token")
-        touched = written(apart.join(crowded, "token", "left_semi").select("doc_id").distinct(), "touched")
-        more = frequent(part_of(once.join(touched, "doc_id", "left_semi"), touched.count(), 4 * LOOKED))
-        more = more[~np.isin(more, late)]
-        signed = np.sort(more.view(np.int64))
+    def holding(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
+        """Ids of the texts that have one of these among their ``tokens``."""
 
-        def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 lists = b.column(1)
-                hit = np.isin(lists.flatten().to_numpy(), signed)
+                hit = np.isin(lists.flatten().to_numpy(), wanted)
                 rows = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
                 yield b.select(["doc_id"]).take(pa.array(np.unique(rows[hit])))
 
-        changed = written(sketch.select("doc_id", "tokens").mapInArrow(moved, "doc_id bigint").distinct(), "changed")
-        again = once.join(changed, "doc_id", "left_semi").mapInArrow(sketched(np.concatenate([late, more]), False), SKETCH).drop("keys")
+        return texts.mapInArrow(run, "doc_id bigint").distinct()
+
+    def settled(sketch: DataFrame, joined: DataFrame) -> DataFrame:
+        """``doc_id, n, tokens`` in an order where shingles that crowd the first
+        places of texts of different groups come last of all. Only texts that have
+        one of these among their first get new ones: for others nothing moves."""
+        inside = joined.where("point <> root").select(F.col("point").alias("doc_id"))
+        apart = sketch.join(inside, "doc_id", "left_anti").select("doc_id", "tokens")
+        counted = apart.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > HOT)
+        crowded = counted.orderBy(F.desc("count"), "token").limit(LAST).toArrow().column(0).to_numpy()
+        touched = written(holding(apart, crowded), "touched")
+        more = frequent(among(once, touched), touched.count(), HOT)
+        more = more[~np.isin(more, late)]
+        changed = written(holding(sketch.select("doc_id", "tokens"), more.view(np.int64)), "changed")
+        again = among(once, changed).mapInArrow(sketched(np.concatenate([late, more]), False), SKETCH).drop("keys")
         out = written(sketch.join(changed, "doc_id", "left_anti").select("doc_id", "n", "tokens").union(again), "settled")
         discard(touched, changed)
         return out
 
+    def one_each(texts: DataFrame) -> DataFrame:
+        """Of rows under one id the least text."""
+        return texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the distinct ``a, b`` whose sets are similar."""
         asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        own = written(rows.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id bigint, own array<bigint>"), "sets")
+        own = written(one_each(among(rows, asked)).mapInArrow(sets, "doc_id bigint, own array<bigint>"), "sets")
         left, right = (own.select(F.col("doc_id").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
         # sizes alone tell most pairs apart before the sets are moved
         sizes = own.select("doc_id", F.size("own").alias("n"))
@@ -428,13 +446,21 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hot = shared.where(F.col("strays") > HOT)
     named = roots(hot.select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()).withColumnRenamed("point", "doc_id")
     blocks = named.union(named.select("root", "root")).distinct()
-    own = rows.join(blocks.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id bigint, own array<bigint>")
+    own = one_each(among(rows, blocks.select("doc_id"))).mapInArrow(sets, "doc_id bigint, own array<bigint>")
     held = written(own.join(blocks, "doc_id"), "hot")
     dense = written(_cells(held, similarity), "dense")
     discard(held, shared)
     return found.union(rest).union(dense).union(same.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
 
 
+def among(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id is in ``asked``. Texts whose id shares no hash
+    slot with any of these, of which there are ``SLOTS``, are not moved."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
+    near = texts.select("*", slot).join(F.broadcast(asked.select(slot).distinct()), "slot", "left_semi").drop("slot")
+    return near.join(asked, "doc_id", "left_semi")
+
+
 def _apart_yet(sketch: DataFrame, joined: DataFrame) -> DataFrame:
     """``doc_id, n, at, token`` for the first shingles that texts of different
     groups ``joined`` so far share, with the text's group ``root``, the
@@ -445,12 +471,10 @@ def _apart_yet(sketch: DataFrame, joined: DataFrame) -> DataFrame:
     own = sketch.join(group, "doc_id", "left").select(
         "doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.coalesce("weight", F.lit(0)).alias("weight"), F.posexplode("tokens").alias("at", "token")
     )
-    several = own.groupBy("token").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("weight", "root"))["root"].alias("main"),
-        F.min("doc_id").alias("least"),
-    )
-    several = several.where("low < high").drop("low", "high")
-    met = written(own.drop("weight").join(several, "token"), "met")
+    several = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    met = written(own.join(several, "token", "left_semi"), "met")
+    main = met.groupBy("token").agg(F.max(F.struct("weight", "root"))["root"].alias("main"), F.min("doc_id").alias("least"))
+    met = met.drop("weight").join(main, "token")
     strays = met.where("root <> main").groupBy("token").agg(F.count("*").alias("strays"))
     shared = written(met.join(strays, "token"), "shared")
     discard(met)
