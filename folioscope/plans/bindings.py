@@ -403,7 +403,8 @@ def resolve_edges(spark, sf):
         F.col("l_suppkey").alias("paper_id"),
         F.col("l_linenumber").alias("ord"),
         F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("source_name"),
-        F.upper("p_name").alias("target_name"),
+        # seventh lines name something that is no entity: their edges dangle
+        F.when(F.col("l_linenumber") == 7, F.concat(F.upper("p_name"), F.lit(" UNKNOWN"))).otherwise(F.upper("p_name")).alias("target_name"),
         F.lit("evaluated_on").alias("relationship_type"),
         F.col("l_orderkey").cast("string").alias("evidence"),
         F.lit(0.6).alias("confidence"),
@@ -519,6 +520,13 @@ def citation_edges(spark, sf):
     return graph.citation_edges(_document_citations(spark, sf), citing)
 
 
+def edge_union(spark, sf):
+    """All edges of the graph: those that extraction named and those of citations."""
+    columns = ["paper_id", "source_entity_id", "target_entity_id", "relationship_type", "evidence", "confidence"]
+    named = resolve_edges(spark, sf).withColumn("paper_id", F.col("paper_id").cast("string"))
+    return named.select(*columns).unionByName(citation_edges(spark, sf).select(*columns))
+
+
 # ---- analyses -----------------------------------------------------------------
 
 
@@ -662,7 +670,7 @@ def knowledge_summary(spark, sf):
         F.when(F.col("l_linestatus") == "F", "method").otherwise("dataset").alias("entity_type"),
         part.alias("name"),
         F.lit(None).cast("string").alias("description"),
-        F.lit("heuristic").alias("extraction_method"),
+        F.when(F.col("l_returnflag") == "R", "llm").otherwise("heuristic").alias("extraction_method"),
     )
     edges = lines.where(F.col("l_returnflag") != "N").select(F.col("l_orderkey").alias("paper_id"))
     papers = table(spark, sf, "orders").select(
@@ -677,6 +685,7 @@ def knowledge_summary(spark, sf):
         "year",
         "entities_created",
         "relationships_created",
+        "method_used",
         F.array_join("methods", ",").alias("methods"),
         F.array_join("datasets", ",").alias("datasets"),
     )
@@ -982,7 +991,7 @@ QUERIES = {
         clean_text, normalize_title, tokenize_counts, vocab_match, cue_names, claim_sentences,
         extract_knowledge, classify_lines, segment_sections, segment_turns, section_previews,
         split_references, assemble_turns, term_stats, term_idf, bm25_topk, search_corpus, bm25_batch_topk,
-        rrf_fusion, resolve_entities, resolve_authors, resolve_edges, paper_subgraph,
+        rrf_fusion, resolve_entities, resolve_authors, resolve_edges, edge_union, paper_subgraph,
         paper_subgraph_nodes, nodes_by_type, graph_edges_merged, citation_match, citation_edges,
         claim_figures, contradictions, contradiction_figures, gap_underexplored, gap_unevaluated,
         benchmark_timeline, timeline_points, novelty_overlap, novelty_score, low_novelty,

@@ -78,10 +78,10 @@ def run_corpus(
         "entities": entities,
         "relationships": relationships,
         "knowledge": knowledge,
-        "contradictions": contradictions(figures),
+        "contradictions": contradictions(figures).orderBy(F.col("spread").desc(), "dataset"),
         "gaps": gaps(knowledge, concepts),
         "novelty": novelty(concepts),
-        "timelines": timelines(figures),
+        "timelines": timelines(figures).orderBy("dataset"),
         "analyses": paper_analysis(knowledge),
         "missing_citations": missing_citations(concepts, paper_cites(knowledge)),
         "recommendations": with_empty(shared_concepts(recommended, concepts), knowledge),

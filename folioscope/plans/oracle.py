@@ -344,7 +344,8 @@ SELECT l_suppkey AS paper_id, l_linenumber AS ord, {_id("'paper'", 'lower(s_name
        {_id('t', 'k')} AS target_entity_id, 'evaluated_on' AS relationship_type,
        CAST(l_orderkey AS VARCHAR) AS evidence, 0.6::DOUBLE AS confidence
 FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
-JOIN named ON s = l_suppkey AND k = lower(p_name)""",
+JOIN named ON s = l_suppkey AND k = lower(p_name)
+WHERE l_linenumber <> 7""",
     "paper_subgraph": f"""
 WITH {_GRAPH} SELECT paper_id, source_entity_id, target_entity_id, relationship_type, evidence FROM edges""",
     "paper_subgraph_nodes": f"""
@@ -474,6 +475,7 @@ LEFT JOIN names ON names.paper_id = best.paper_id AND names.recommended_id = bes
     "knowledge_summary": """
 SELECT o_orderkey AS paper_id, CAST(year(o_orderdate) AS INTEGER) AS year, count(l_orderkey) AS entities_created,
        count(CASE WHEN l_returnflag <> 'N' THEN 1 END) AS relationships_created,
+       coalesce(max(CASE WHEN l_returnflag = 'R' THEN 'llm' ELSE 'heuristic' END), 'heuristic') AS method_used,
        coalesce(string_agg(CASE WHEN l_linestatus = 'F' THEN 'part ' || l_partkey END, ',' ORDER BY l_linenumber, 'part ' || l_partkey), '') AS methods,
        coalesce(string_agg(CASE WHEN l_linestatus = 'O' THEN 'part ' || l_partkey END, ',' ORDER BY l_linenumber, 'part ' || l_partkey), '') AS datasets
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""",
@@ -595,3 +597,7 @@ run AS (
     FROM run r JOIN ev e ON e.user_id = r.user_id AND e.i = r.i + 1))
 SELECT event_id, user_id, allowed, round(remaining, 4) AS remaining FROM run""",
 }
+
+_EDGE = "paper_id::VARCHAR AS paper_id, source_entity_id, target_entity_id, relationship_type, evidence, confidence"
+ORACLE["edge_union"] = f"""
+SELECT {_EDGE} FROM ({ORACLE["resolve_edges"]}) UNION ALL SELECT {_EDGE} FROM ({ORACLE["citation_edges"]})"""
