@@ -186,9 +186,10 @@ def _closed(df: DataFrame, column: str, accepted: list[str]) -> DataFrame:
 
 
 def merge_nodes(entities: DataFrame, order: str | None = None) -> DataFrame:
-    """Nodes merged on (type, id), last write wins."""
+    """Nodes merged on (type, id), last write wins; of equal ones in ``order`` the
+    greatest by all other columns."""
     rest = [c for c in entities.columns if c not in ("entity_type", "entity_id", order)]
-    by = F.col(order) if order else F.struct(*rest)
+    by = F.struct(*([order] if order else []), *rest)
     return (
         _closed(entities, "entity_type", ENTITY_TYPES)
         .groupBy("entity_type", "entity_id")
@@ -198,11 +199,12 @@ def merge_nodes(entities: DataFrame, order: str | None = None) -> DataFrame:
 
 
 def merge_edges(relationships: DataFrame, order: str) -> DataFrame:
-    """Edges merged on (source, type, target); the last evidence and confidence stay."""
+    """Edges merged on (source, type, target); the last evidence and confidence
+    stay, of equal ones in ``order`` the greatest."""
     return (
         _closed(relationships, "relationship_type", RELATIONSHIP_TYPES)
         .groupBy("source_entity_id", "relationship_type", "target_entity_id")
-        .agg(F.max_by(F.struct("evidence", "confidence"), F.col(order)).alias("last"))
+        .agg(F.max_by(F.struct("evidence", "confidence"), F.struct(order, "evidence", "confidence")).alias("last"))
         .select("source_entity_id", "relationship_type", "target_entity_id", "last.*")
     )
 

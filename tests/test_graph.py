@@ -142,3 +142,13 @@ def test_subgraph_keeps_parallel_edges_and_loops(spark):
         {"source_entity_id": graph.paper_entity_id(F.col("s")), "target_entity_id": graph.paper_entity_id(F.col("t"))}).drop("s", "t")
     _, edges = graph.paper_subgraph(entities, relationships, papers, papers.where("paper_id = 'p'").select("paper_id"))
     assert sorted(r.evidence for r in edges.collect()) == ["back", "e", "e", "loop"]
+
+
+def test_merges_do_not_depend_on_the_order_of_rows(spark):
+    edges = [("a", "b", "cites", f"e{i}", float(i % 3), 1) for i in range(6)]
+    nodes = [("method", "m", f"name {i}", 1) for i in range(6)]
+    for turn in (1, -1):
+        e = spark.createDataFrame(edges[::turn], "source_entity_id STRING, target_entity_id STRING, relationship_type STRING, evidence STRING, confidence DOUBLE, at INT")
+        n = spark.createDataFrame(nodes[::turn], "entity_type STRING, entity_id STRING, name STRING, at INT")
+        assert graph.merge_edges(e.repartition(3), "at").first().evidence == "e5"
+        assert graph.merge_nodes(n.repartition(3), "at").first().name == "name 5"
