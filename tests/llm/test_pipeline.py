@@ -18,7 +18,7 @@ def brute_groups(texts):
 
 def test_registered():
     names = set(queries())
-    assert "pipeline" in names and {re.match(r"op\d+", n)[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and {re.match(r"op\d+", n)[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 14)}
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
 
 
