@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ LENGTH = 1024
 END = 0
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SHARD = 1024
-#: Chunks of text whose ids a worker remembers.
+#: Chunks of text whose ids a worker remembers, in each of two generations.
 MEMORY = 400_000
 #: Texts are looked at in parts of about so many bytes.
 PART = 4 << 20
@@ -37,7 +38,9 @@ class Ids:
     """Token ids of texts by a tokenizer file, as packed integers.
 
     The tokenizer's pattern never crosses a space that follows another kind of
-    character, so a text is cut there and each distinct chunk is encoded once."""
+    character, so a text is cut there and a chunk met before is not encoded again.
+    Chunks are kept in two generations: a full one becomes the old one, from which
+    those that occur again move on, so frequent chunks are never forgotten."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,15 +50,21 @@ class Ids:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_CUT.split(t) if _ODD.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
         if len(self.known) > MEMORY:
-            self.known.clear()
-        new = list(set().union(*cut).difference(self.known))
+            self.known, self.old = {}, self.known
+        missing = set().union(*cut).difference(self.known)
+        again = missing & self.old.keys()
+        self.known.update((c, self.old[c]) for c in again)
+        new = list(missing - again)
         if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update(zip(new, (np.array(e.ids, self.kind).tobytes() for e in found)))
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            packed = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
+            ends = list(accumulate((len(x) * np.dtype(self.kind).itemsize for x in ids), initial=0))
+            self.known.update(zip(new, (packed[a:b] for a, b in pairwise(ends))))
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
 
@@ -68,7 +77,8 @@ def ids_of(path: str) -> Ids:
 
 def tokenised(docs: DataFrame, tokenizer: str, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``shard, doc_id, doc_tokens, start, ids``: pieces of at most LENGTH ids,
-    the last ending with END. A null text is empty and so one END."""
+    the last ending with END. A null text is empty and so one END. A row's place
+    takes part in its shard, so that repeated rows spread."""
 
     def parts(texts: list[str]) -> Iterator[tuple[int, int]]:
         first, size = 0, 0
@@ -102,7 +112,7 @@ def tokenised(docs: DataFrame, tokenizer: str, shards: int, id_col: str = "doc_i
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     identity = F.col(f"`{id_col}`").cast("bigint")
-    shard = F.pmod(F.xxhash64(identity, F.col(f"`{text_col}`")), F.lit(shards)).alias("shard")
+    shard = F.pmod(F.xxhash64(identity, F.monotonically_increasing_id()), F.lit(shards)).alias("shard")
     return docs.select(shard, identity.alias("doc_id"), text).mapInArrow(
         run, "shard bigint, doc_id bigint, doc_tokens bigint, start bigint, ids binary"
     )
@@ -146,7 +156,8 @@ def pack(
 
     Every id of every row is in one piece. Rows are packed one by one: equal or
     null ids and repeated rows are documents of their own. Other columns are
-    ignored. An empty table has no pieces."""
+    ignored. An empty table has no pieces. ``docs`` is read from a table, so that
+    rows come in the same order where a lost task is run again."""
     shards = max(1, -(-docs.count() // SHARD))
 
     def solve(key: tuple, shard: pa.Table) -> pa.Table:

@@ -94,3 +94,18 @@ def test_assignment_balances_cost():
     assert full[-1] < 2 * full[len(full) // 2]
     cuts = sum(1 for _, skip, *_ in put if skip)
     assert cuts < len(used)
+
+
+def test_repeated_rows_spread(spark, docs_of):
+    rows = packing.tokenised(docs_of([(7, "same text")] * 600).repartition(3), PATH, 3).groupBy("shard").count().collect()
+    assert len(rows) == 3 and max(r["count"] for r in rows) < 300
+
+
+def test_memory_of_two_generations(tokenizer, monkeypatch):
+    """Small memories forget rare chunks only, and ids stay right."""
+    monkeypatch.setattr(packing, "MEMORY", 5)
+    ids, texts = packing.Ids(PATH), [f"often word{i} often rare{i * i} é{i}" for i in range(40)]
+    for t in texts + texts[::-1]:
+        assert np.frombuffer(ids.encode([t])[0], ids.kind).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        assert "often" in ids.known and " often" in ids.known
+    assert len(ids.known) + len(ids.old) < 30
