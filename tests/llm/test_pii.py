@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 from folioscope.llm import pii
 
 
-def replaced(spark, texts, **kw):
+KEY = "a key"
+
+
+def replaced(spark, texts, key=KEY):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, pii_kinds string")
-    return [(r.text, r.pii_kinds) for r in pii.replace_pii(df, **kw).orderBy("doc_id").collect()]
+    return [(r.text, r.pii_kinds) for r in pii.replace_pii(df, key=key).orderBy("doc_id").collect()]
 
 
 def luhn(digits):
@@ -32,6 +35,13 @@ FORMATS = [
     ("Mr. John Smith", "name", r"Mr\. (?:%s) [A-Z][a-z]+" % "|".join(pii.GIVEN["latin"][0])),
     ("Frau Anna Müller", "name", r"Frau (?:%s) [A-Z][a-z]+" % "|".join(pii.GIVEN["latin"][1])),
     ("Dr Ольга Петрова", "name", r"Dr (?:%s) [А-Я][а-я]+" % "|".join(pii.GIVEN["cyrillic"][1])),
+    ("3056 930902 5904", "card", r"3\d{3} \d{6} \d{4}"), ("6304-9850-2809-0561-515", "card", r"6\d{3}(-\d{4}){3}-\d{3}"),
+    ("60 11000 99013 9424", "card", r"6\d \d{5} \d{5} \d{4}"), ("5551234567", "phone", r"[2-9]\d{9}"), ("555 123 4567", "phone", r"[2-9]\d\d \d{3} \d{4}"),
+    ("password=abc!defgh", "secret", r"password=[a-z]{3}![a-z]{5}"), ("token=aaaabbbb.ccccdddd.eeeeffff", "secret", r"token=[a-z]{8}\.[a-z]{8}\.[a-z]{8}"),
+    ("API-Key: 'p@ss word 1'", "secret", r"API-Key: '[a-z]@[a-z]{2} [a-z]{4} \d'"), ("token=" + "aB3" * 300, "secret", r"token=[A-Za-z0-9]{900}"),
+    ("Dr. McDonald", "name", r"Dr\. [A-Z][a-z]+"), ("Mr. O'Brien", "name", r"Mr\. O'[A-Z][a-z]+"), ("Mrs. de la Cruz", "name", r"Mrs\. de la [A-Z][a-z]+"),
+    ("Mr. Smith-Jones", "name", r"Mr\. [A-Z][a-z]+-[A-Z][a-z]+"), ("MR SMITH".replace("MR", "Mr"), "name", r"Mr [A-Z]+"),
+    ("Wei Zhang", "name", r"[A-Z][a-z]+ [A-Z][a-z]+"),
     ("Mary Jones", "name", r"(?:%s) [A-Z][a-z]+" % "|".join(pii.GIVEN["latin"][1])),
 ]
 
@@ -63,11 +73,42 @@ def test_different_entities_stay_different(spark):
     got = [t for t, _ in replaced(spark, texts)]
     assert len(set(got)) == len(texts)
     names = spark.createDataFrame([("email", t) for t in texts], "kind string, norm string")
-    first = names.select(pii.surrogate(F.struct("kind", "norm", F.col("norm").alias("x")), pii.KEY, F.lit(0)).alias("s")).distinct().count()
-    moved = pii.renumbered(names, pii.KEY)
+    first = names.select(pii.surrogate(F.struct("kind", "norm", F.col("norm").alias("x")), KEY, F.lit(0)).alias("s")).distinct().count()
+    moved = pii.renumbered(names, KEY)
     assert first < len(texts) and moved.count() >= len(texts) - first
 
 
+def test_surnames_at_scale(spark):
+    """Sole and full names share their surname, and no two surnames one surrogate."""
+    letters = "bcdfghjklmnprstv"
+    names = ["".join(letters[n >> k & 15] + "aeiou"[(n >> k) % 5] for k in (0, 4, 8, 12)).capitalize() for n in range(4_000)]
+    got = [t for t, _ in replaced(spark, [f"Mr. {n} met Mr. Thomas {n} and Karl Gustav {n}" for n in names])]
+    found = [re.fullmatch(r"Mr\. (\S+) met Mr\. (\S+) (\S+) and (\S+) (\S+)", t).groups() for t in got]
+    assert all(sole == one == two for sole, _, one, _, two in found)
+    assert len({f[0] for f in found}) == len(set(names)) and len({f[1] for f in found}) == len({f[3] for f in found}) == 1
+    assert found[0][1] != found[0][3]
+
+
+def test_full_small_spaces_end(spark):
+    """Twice 26 single letters, and a crowded private network."""
+    texts = [f"{a}@x{k}.org" for a in "abcdefghijklmnopqrstuvwxyz" for k in range(2)] + [f"192.168.{a}.{b}" for a in range(2) for b in range(40)]
+    assert len({t.lower() for t, _ in replaced(spark, texts)}) == len(texts)
+
+
+def test_adjacent_numbers(spark):
+    (a, ka), (b, kb), (c, kc) = replaced(spark, ["12 4041 8949 7460 8795", "4041 8949 7460 8795 212-555-0187", "60 11000 99013 9425"])
+    assert (ka, kb, kc) == (["card"], ["card", "phone"], []) and a.startswith("12 4") and c == "60 11000 99013 9425"
+
+
+def test_key_and_clashing_columns(spark):
+    df = spark.createDataFrame([(i, f"{a}@x.org", "m", "n", "f", "r") for i, a in enumerate("abcdefghijk")],
+                               "doc_id long, text string, mark string, numbers string, found string, pii_mark string")
+    got = pii.replace_pii(df, key=KEY)
+    assert got.columns == df.columns + ["pii_kinds"] and {(r.mark, r.numbers, r.found, r.pii_mark) for r in got.collect()} == {("m", "n", "f", "r")}
+    with pytest.raises(ValueError):
+        pii.replace_pii(df)
+
+
 @pytest.mark.parametrize("few", [0, 50_000])
 def test_joined_numbers(spark, monkeypatch, few):
     monkeypatch.setattr(pii, "BROADCAST_ROWS", few)
@@ -79,16 +120,16 @@ def test_joined_numbers(spark, monkeypatch, few):
 
 def test_rows_and_columns(spark):
     df = spark.createDataFrame([(None, "a 10.1.2.3", 9, "en"), (None, "a 10.1.2.3", 9, "en"), (1, None, 5, None)], "doc_id long, text string, n_chars int, row string")
-    got = pii.rewrite(df)
+    got = pii.rewrite(df, KEY)
     assert got.dtypes == df.dtypes and got.count() == 3
     for r in got.where("text is not null").collect():
         assert r.n_chars == len(r.text) and r.row == "en"
     assert got.where("doc_id = 1").first().n_chars == 5
-    assert pii.replace_pii(df.limit(0)).count() == 0
+    assert pii.replace_pii(df.limit(0), key=KEY).count() == 0
     long = "word " * 100_000 + "10.1.2.3"
-    assert pii.replace_pii(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().text.startswith("word word")
+    assert pii.replace_pii(spark.createDataFrame([(1, long)], "doc_id long, text string"), key=KEY).first().text.startswith("word word")
 
 
 def test_no_python_runs(spark, small):
-    plan = pii.replace_pii(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    plan = pii.replace_pii(spark.read.parquet(f"{small}/documents.parquet"), key=KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
