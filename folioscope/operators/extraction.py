@@ -29,6 +29,80 @@ def vocab_match(df: DataFrame, text_col: str, vocabulary: list[str], out: str =
     return df.withColumn(out, F.explode(hits))
 
 
+def _folded(c: Column) -> Column:
+    """Lower case letter by letter, also of those whose upper case is another's."""
+    return F.lower(F.translate(c, "\u0130\u0131\u017f\u00b5\u03c2", "iis\u03bc\u03c3"))
+
+
+# a word and what stands before it, as group 0; the word, as group 1
+PIECE = r"(?U)\W*(\w+)"
+
+
+def _forms(pieces: Column, words: Column, shape: Column) -> Column:
+    """Every run of ``shape.words`` words as it stands, with the characters before its
+    first word (``lead``) or after its last one (``trail``) up to the neighbouring word."""
+    n = shape["words"]
+
+    def form(i: Column) -> Column:
+        opening = F.when(~shape["lead"], F.get(words, i)).when(i > 0, F.get(pieces, i))
+        after = F.get(pieces, i + n)
+        gap = F.left(after, F.length(after) - F.length(F.get(words, i + n)))
+        closing = F.when(shape["trail"], gap).otherwise("")
+        return F.concat(opening, F.array_join(F.slice(pieces, i + 2, n - 1), ""), closing)
+
+    last = F.size(words) - n
+    return F.when(last >= 0, F.array_compact(F.transform(F.sequence(F.lit(0), last), form)))
+
+
+def match_names(
+    df: DataFrame, text_col: str, names: DataFrame, name_col: str = "name", out: str = "name"
+) -> DataFrame:
+    """``vocab_match`` for a vocabulary that is a table of any size: one row per row of
+    ``df`` and distinct name found in its text, by an equi-join instead of one pattern.
+
+    A name stands in a text as whole words exactly if the text has a run of as many words
+    that reads the same, case aside; a name that begins or ends with another character must
+    have just this between it and the next word. So texts send their distinct runs, of the
+    word counts that names have, and these meet names by equality. What a text sends is
+    its words times the distinct word counts of names, however many names there are.
+
+    Null texts and texts without words have no names. Null and empty names, and names without
+    a letter, digit or underscore, match nothing; repeated names count once; spellings that
+    differ in case alone are all found. Repeated rows of ``df`` are found each. The result
+    has the columns of ``df`` without the text, which would travel with every run; a
+    column named ``out`` is replaced.
+    """
+    folded = _folded(F.col("_name"))
+    known = (
+        names.select(F.col(name_col).alias("_name")).distinct()
+        .where(F.col("_name").rlike(r"(?U)\w"))
+        .select(
+            "_name", folded.alias("_form"),
+            F.struct(
+                F.size(F.regexp_extract_all(folded, F.lit(PIECE), F.lit(1))).alias("words"),
+                folded.rlike(r"(?U)^\W").alias("lead"), folded.rlike(r"(?U)\W\z").alias("trail"),
+            ).alias("_shape"),
+        )
+    )
+    # at most four for each word count that names have
+    shapes = known.agg(F.collect_set("_shape").alias("_shapes"))
+    text = _folded(F.col(text_col))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (out, text_col)]
+    cut = df.select(F.struct(*kept).alias("_row"), text.alias("_text")).crossJoin(
+        F.broadcast(shapes)  # exactly one row
+    ).select(
+        "_row", "_shapes",
+        F.regexp_extract_all("_text", F.lit(PIECE), F.lit(0)).alias("_pieces"),
+        F.regexp_extract_all("_text", F.lit(PIECE), F.lit(1)).alias("_words"),
+    )
+    runs = F.transform("_shapes", lambda s: _forms(F.col("_pieces"), F.col("_words"), s))
+    return (
+        cut.select("_row", F.explode(F.array_distinct(F.flatten(F.array_compact(runs)))).alias("_form"))
+        .join(known.select("_form", "_name"), "_form")
+        .select("_row.*", F.col("_name").alias(out))
+    )
+
+
 def cue_names(
     df: DataFrame,
     text_col: str,

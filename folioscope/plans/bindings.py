@@ -198,6 +198,17 @@ def vocab_match(spark, sf):
     return first.unionByName(second).select("doc_id", "vocabulary", "name")
 
 
+def match_names(spark, sf):
+    """Names of one word and of two with a blank between, as benchmark items and parts have them."""
+    items = table(spark, sf, "benchmark").select(F.split("text", " ").alias("w"))
+    plain = lambda w: w.rlike("^[A-Za-z]+$")
+    pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.when(
+        plain(a) & F.coalesce(plain(b), F.lit(False)), F.concat_ws(" ", a, b)))
+    names = items.select(F.explode(F.concat(F.filter("w", plain), F.array_compact(pairs))).alias("name"))
+    parts = table(spark, sf, "part").select(F.col("p_name").alias("name"))
+    return extraction.match_names(doc_texts(spark, sf), "text", names.union(parts))
+
+
 def cue_names(spark, sf):
     return extraction.cue_names(doc_texts(spark, sf), "text", CUES, NAME_WORD).select(
         "doc_id", "pos", "name"
@@ -339,6 +350,14 @@ def bm25_batch_topk(spark, sf):
     return retrieval.bm25_over_documents(doc_texts(spark, sf), benchmark_queries(spark, sf))
 
 
+def bm25_bounded(spark, sf):
+    """The index of all documents, stored; every benchmark item asks it."""
+    folder = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
+    retrieval.build_index(doc_texts(spark, sf)).save(path)
+    return retrieval.bm25_bounded(retrieval.Index.load(spark, path), benchmark_queries(spark, sf))
+
+
 def rrf_fusion(spark, sf):
     queries = benchmark_queries(spark, sf)
     index = retrieval.restricted_index(doc_texts(spark, sf), queries)
@@ -988,9 +1007,9 @@ def token_bucket(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in [
-        clean_text, normalize_title, tokenize_counts, vocab_match, cue_names, claim_sentences,
+        clean_text, normalize_title, tokenize_counts, vocab_match, match_names, cue_names, claim_sentences,
         extract_knowledge, classify_lines, segment_sections, segment_turns, section_previews,
-        split_references, assemble_turns, term_stats, term_idf, bm25_topk, search_corpus, bm25_batch_topk,
+        split_references, assemble_turns, term_stats, term_idf, bm25_topk, search_corpus, bm25_batch_topk, bm25_bounded,
         rrf_fusion, resolve_entities, resolve_authors, resolve_edges, edge_union, paper_subgraph,
         paper_subgraph_nodes, nodes_by_type, graph_edges_merged, citation_match, citation_edges,
         claim_figures, contradictions, contradiction_figures, gap_underexplored, gap_unevaluated,

@@ -285,6 +285,19 @@ FROM documents d LEFT JOIN kept USING (doc_id) GROUP BY 1""",
     "vocab_match": f"""
 SELECT doc_id, 'dataset' AS vocabulary, name FROM ({_hits(WORDS, 'd')})
 UNION ALL SELECT doc_id, 'metric', name FROM ({_hits(METRIC_WORDS, 'd')})""",
+    "match_names": r"""
+WITH items AS (SELECT string_split(text, ' ') AS w FROM benchmark),
+split_items AS (SELECT unnest(w) AS a, unnest(list_concat(w[2:], [''])) AS b FROM items),
+names AS (
+  SELECT a AS name FROM split_items WHERE regexp_full_match(a, '[A-Za-z]+')
+  UNION SELECT a || ' ' || b FROM split_items WHERE regexp_full_match(a, '[A-Za-z]+') AND regexp_full_match(b, '[A-Za-z]+')
+  UNION SELECT p_name FROM part),
+cut AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\p{L}\p{M}\p{N}_]*([\p{L}\p{M}\p{N}_]+)', 1) AS w,
+         regexp_extract_all(lower(text), '[^\p{L}\p{M}\p{N}_]*[\p{L}\p{M}\p{N}_]+') AS t FROM documents),
+runs AS (SELECT doc_id, unnest(w) AS a, unnest(list_concat(t[2:], [''])) AS b FROM cut),
+forms AS (SELECT doc_id, a AS form FROM runs UNION SELECT doc_id, a || b FROM runs WHERE b <> '')
+SELECT doc_id, name FROM forms JOIN names ON lower(name) = form""",
     "cue_names": f"SELECT doc_id, pos, name FROM ({_cues()})",
     "claim_sentences": _claims(),
     "extract_knowledge": f"""
@@ -325,6 +338,9 @@ WITH {_PAPER_INDEX}, {_BENCH_TERMS}, {_bm25('SELECT * FROM qterms', 1.5, 0.75, '
 SELECT query_id, rank, doc_id, source AS title, score FROM hits JOIN (SELECT doc_id, source FROM documents) USING (doc_id)""",
     "bm25_batch_topk": f"""
 WITH {_INDEX}, {_BENCH_TERMS}, {_bm25('SELECT * FROM qterms', 1.5, 0.75, 'hits')}
+SELECT query_id, doc_id, score, rank FROM hits""",
+    "bm25_bounded": f"""
+WITH {_INDEX}, {_BENCH_TERMS}, {_bm25('SELECT * FROM qterms', 1.5, 0.75, 'hits')}
 SELECT query_id, doc_id, score, rank FROM hits""",
     "rrf_fusion": f"""
 WITH {_INDEX}, {_BENCH_TERMS}, {_bm25('SELECT * FROM qterms', 1.5, 0.75, 'a')}, {_bm25('SELECT * FROM qterms', 1.2, 0.3, 'b')}

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from folioscope.functions.vocabulary import (
     cue_names,
     vocabulary_hits,
 )
+from folioscope.operators.extraction import match_names
 
 
 def values(spark, expression, texts):
@@ -85,3 +87,32 @@ def test_display(spark):
     assert values(spark, lambda c: T.prefix(c, 3), ["abcd", "abc"]) == ["abc…", "abc"]
     assert values(spark, lambda c: T.join_first(F.split(c, " "), 2), ["a b c", "a b"]) == ["a, b, et al.", "a, b"]
     assert values(spark, T.capitalize_first, ["proposes M1", ""]) == ["Proposes M1", ""]
+
+
+def found(spark, texts, names):
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, text STRING")
+    table = spark.createDataFrame([(n,) for n in names], "name STRING")
+    return sorted((r.i, r.name) for r in match_names(df, "text", table).collect())
+
+
+def test_names_of_a_table_equal_names_of_a_list(spark):
+    rng = random.Random(5)
+    bits = ["CIFAR", "cifar", "10", "-", " ", "@", "hits", "C", "++", "é", "F1", "score", ".", "_", "Straße", "  ", "\n"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(14))) for _ in range(400)]
+    texts += [None, "", "  ", "Trained on ImageNet and CIFAR-10, hits@10.", "C++x and C++", "x@home @home", "word " * 20000 + "MNIST"]
+    names = {"".join(rng.choices(bits, k=rng.randrange(1, 5))) for _ in range(150)}
+    names = [n for n in names if any(c.isalnum() or c == "_" for c in n)]
+    names += ["CIFAR-10", "cifar-10", "hits@10", "C++", "@home", *DATASETS, *METRICS]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, text STRING")
+    listed = df.select("i", F.explode(vocabulary_hits(F.col("text"), names)).alias("name")).collect()
+    assert found(spark, texts, names + names[:9]) == sorted((r.i, r.name) for r in listed)
+
+
+def test_names_of_a_table_odd_input(spark):
+    assert found(spark, ["a b", None], []) == found(spark, [], ["a"]) == []
+    assert found(spark, ["a ++ b"], [None, "", " ", "++"]) == []
+    assert found(spark, ["K \u212a", "s \u017f", "\u0130 x"], ["k", "S", "I"]) == [(0, "k"), (1, "S"), (2, "I")]
+    clash = spark.createDataFrame([(1, "a", "u", "v"), (1, "a", "u", "v")], "_shapes INT, text STRING, name STRING, `_form` STRING")
+    table = spark.createDataFrame([("A",)], "name STRING")
+    got = match_names(clash, "text", table)
+    assert got.columns == ["_shapes", "_form", "name"] and [tuple(r) for r in got.collect()] == [(1, "v", "A")] * 2
