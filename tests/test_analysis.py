@@ -137,6 +137,41 @@ def test_overlap_equals_all_pairs(spark, monkeypatch, popular):
     assert recs == {p: v for p, v in brute_recommend(rows, 3).items() if v}
 
 
+@pytest.mark.parametrize("narrow", [0, 2])
+def test_overlap_of_wide_papers(spark, monkeypatch, narrow):
+    monkeypatch.setattr(overlap, "RANGE", 16)
+    rows = random_papers(5, 40)
+    k = knowledge(spark, rows)
+    concepts = analysis.paper_concepts(k)
+    got = {r.paper_id: r.shared_with for r in overlap.impact(
+        concepts, k.select("paper_id", "paper_title"), popular=8, narrow=narrow).collect()}
+    assert got == brute_impact(rows)
+    recs = {}
+    for r in overlap.recommend(concepts, 3, popular=8, narrow=narrow).orderBy("paper_id", "position").collect():
+        recs.setdefault(r.paper_id, []).append((r.recommended_id, r.shared))
+    assert recs == {p: v for p, v in brute_recommend(rows, 3).items() if v}
+
+
+def test_frequent_concepts_are_not_paired(spark, monkeypatch):
+    """Of concepts of nearly equal frequency none leaves lists of its papers."""
+    def no_pairs(*args):
+        raise AssertionError("papers were paired")
+
+    monkeypatch.setattr(overlap, "_pairs", no_pairs)
+    names = [f"c{i:02d}" for i in range(60)]
+    rows = [{"id": f"p{i:03d}", "t": f"T{i}", "m": [c for j, c in enumerate(names) if (i * 7 + j * 5) % 11 < 4 + j % 2], "d": []} for i in range(40)]
+    k = knowledge(spark, rows)
+    got = {r.paper_id: r.shared_with for r in overlap.impact(
+        analysis.paper_concepts(k), k.select("paper_id", "paper_title")).collect()}
+    assert got == brute_impact(rows)
+    rows = [{"id": f"p{i:03d}", "t": f"T{i}", "m": [f"a{i % 97}", f"b{i % 101}"], "d": [f"c{i % 89}"]} for i in range(200)]
+    concepts = analysis.paper_concepts(knowledge(spark, rows))
+    recs = {}
+    for r in overlap.recommend(concepts, 3).orderBy("paper_id", "position").collect():
+        recs.setdefault(r.paper_id, []).append((r.recommended_id, r.shared))
+    assert recs == {p: v for p, v in brute_recommend(rows, 3).items() if v}
+
+
 def test_recommend_details(spark):
     rows = [{"t": "A", "d": ["Cora", "Citeseer"]}, {"t": "B", "d": ["Cora"]}, {"t": "C", "d": ["X"]}]
     k = knowledge(spark, rows)
