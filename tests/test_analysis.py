@@ -172,6 +172,13 @@ def test_frequent_concepts_are_not_paired(spark, monkeypatch):
     assert recs == {p: v for p, v in brute_recommend(rows, 3).items() if v}
 
 
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "ROWS", 100)
+    rows = spark.range(1000)
+    assert overlap._spread(rows, 1000, "id").rdd.getNumPartitions() == 10
+    assert overlap._spread(rows, 300, "id") is rows
+
+
 def test_recommend_details(spark):
     rows = [{"t": "A", "d": ["Cora", "Citeseer"]}, {"t": "B", "d": ["Cora"]}, {"t": "C", "d": ["X"]}]
     k = knowledge(spark, rows)
