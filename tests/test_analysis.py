@@ -172,6 +172,35 @@ def test_frequent_concepts_are_not_paired(spark, monkeypatch):
     assert recs == {p: v for p, v in brute_recommend(rows, 3).items() if v}
 
 
+def test_pairs_of_concepts_are_moved_once(spark, monkeypatch):
+    """Papers that meet at pairs of concepts are neither counted nor written first
+    where no concept has more than ``SETS`` papers."""
+    def not_needed(*args):
+        raise AssertionError("rows were dealt into parts")
+
+    monkeypatch.setattr(overlap, "_dealt", not_needed)
+    rows = [{"id": f"p{i:03d}", "t": f"T{i // 2}", "m": [f"a{i % 7}", f"b{i % 9}", f"c{i % 5}"], "d": []} for i in range(60)]
+    recs = {}
+    concepts = analysis.paper_concepts(knowledge(spark, rows))
+    for r in overlap.recommend(concepts, 3, popular=0).orderBy("paper_id", "position").collect():
+        recs.setdefault(r.paper_id, []).append((r.recommended_id, r.shared))
+    assert recs == {p: v for p, v in brute_recommend(rows, 3).items() if v}
+
+
+def test_hash_tells_names_apart(spark, monkeypatch):
+    names = spark.createDataFrame([("a",), ("b",), ("cc",)], "concept string")
+    hashed, tried = overlap.F.xxhash64, []
+
+    def colliding(c, salt):
+        tried.append(salt)
+        return overlap.F.length(c).cast("bigint") if len(tried) == 1 else hashed(c, salt)
+
+    monkeypatch.setattr(overlap.F, "xxhash64", colliding)
+    number = overlap._hashed(names)
+    assert len(tried) == 2
+    assert names.select(number(overlap.F.col("concept"))).distinct().count() == 3
+
+
 def test_tasks_grow_with_rows(spark, monkeypatch):
     monkeypatch.setattr(overlap, "ROWS", 100)
     rows = spark.range(1000)
