@@ -140,15 +140,8 @@ def paper_analysis(knowledge: DataFrame, **overlap_options) -> DataFrame:
         )
     )
     density = F.round(F.col("n_claims") / F.greatest(F.size("m") + F.size("d"), F.lit(1)), 2)
-    return (
-        base.select(
-            "paper_id", "paper_title", density.alias("evidence_density"),
-            F.col("m").alias("key_contributions"), summary.alias("summary"),
-        )
-        .join(by_title, "paper_title", "left")
-        .join(scored, "paper_id")
-        .select(
-            "paper_id", "paper_title", "novelty_score", "impact_score", "evidence_density",
-            "key_contributions", "summary",
-        )
+    # texts are made after the joins, which move the names alone
+    return base.join(by_title, "paper_title", "left").join(scored, "paper_id").select(
+        "paper_id", "paper_title", "novelty_score", "impact_score", density.alias("evidence_density"),
+        F.col("m").alias("key_contributions"), summary.alias("summary"),
     )
