@@ -20,24 +20,29 @@ def response_body(raw: Column) -> Column:
     return F.when(text.startswith("```"), strip(inner)).otherwise(text)
 
 
-def _object(raw: Column) -> Column:
-    """The parsed body with ``_bad`` set where it is no JSON object and nothing
-    else. As the value of one of two keys made of its own digest, a body that closes
+def read_responses(responses: DataFrame) -> DataFrame:
+    """Responses with their text replaced by ``r``, the parsed body, whose ``_bad`` is set
+    where it is no JSON object and nothing else. ``parse_responses`` and ``parsed_papers``
+    take either form; where both are asked for, this table is best written once.
+
+    As the value of one of two keys made of its own digest, a body that closes
     early hides the second key, and one with more after it adds others."""
-    body = response_body(raw)
+    if "response" not in responses.columns:
+        return responses
+    bodies = responses.withColumn("_body", response_body(F.col("response"))).withColumn("_digest", F.md5("_body"))
+    body, digest = F.col("_body"), F.col("_digest")
     strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    digest = F.md5(body)
     inside = F.concat(F.lit('{"'), digest, F.lit('":'), body, F.lit(',"end'), digest, F.lit('":1}'))
     keys = F.map_keys(F.from_json(inside, "map<string,string>", strict))
-    alone = F.array_sort(keys) == F.array_sort(F.array(digest, F.concat(F.lit("end"), digest)))
+    alone = F.sort_array(keys) == F.sort_array(F.array(digest, F.concat(F.lit("end"), digest)))
     safe = F.when(body.startswith("{") & F.coalesce(alone, F.lit(False)), body).otherwise("{")
-    return F.from_json(safe, f"{RESPONSE}, _bad STRING", strict | {"columnNameOfCorruptRecord": "_bad"})
+    parsed = F.from_json(safe, f"{RESPONSE}, _bad STRING", strict | {"columnNameOfCorruptRecord": "_bad"})
+    return bodies.withColumn("r", parsed).drop("response", "_body", "_digest")
 
 
 def parsed_papers(responses: DataFrame) -> DataFrame:
     """Papers whose response is a JSON object."""
-    ok = _object(F.col("response"))["_bad"].isNull()
-    return responses.where(ok).select("paper_id").distinct()
+    return read_responses(responses).where(F.col("r._bad").isNull()).select("paper_id").distinct()
 
 
 def parse_responses(responses: DataFrame, strict: bool = False) -> DataFrame:
@@ -45,7 +50,7 @@ def parse_responses(responses: DataFrame, strict: bool = False) -> DataFrame:
     the heuristic extraction. Items without a name (claims: description) are
     skipped; claims keep the number of their place in the list. A response that
     is no JSON object gives no rows, or with ``strict`` fails the job."""
-    parsed = responses.select("paper_id", "title", "paper_ord", _object(F.col("response")).alias("r"))
+    parsed = read_responses(responses).select("paper_id", "title", "paper_ord", "r")
     # a body that did not parse has no lists, so it explodes to nothing
     good = F.col("r._bad").isNull()
     if strict:

@@ -53,6 +53,10 @@ def test_no_all_pairs_join_and_no_python(spark, small, name):
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|Python|MapInPandas", text)
 
 
+def test_responses_are_read_once(spark, small):
+    assert "from_json" not in plan(queries()["coalesce_extractions"](spark, small))
+
+
 def test_scans_read_only_needed_columns(spark, small):
     text = plan(queries()["contradictions"](spark, small))
     assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double>" in text
