@@ -52,8 +52,9 @@ KEYS, PICKED = 24, 3
 #: in, and how many are put last in the order. They choose an order only.
 LOOKED, OFTEN, LAST = 8_192, 4, 65_536
 #: Texts outside its largest group that share a first shingle, above which all that
-#: share it are compared in blocks, and shingles of a block.
-HOT, HELD = 32, 250_000
+#: share it are compared in blocks, shingles of a block, and sets of a block whose
+#: pairs are counted at once.
+HOT, HELD, TILE = 32, 250_000, 1_024
 
 #: Hash slots by which texts that a join does not need are told before it.
 SLOTS = 1 << 20
@@ -506,35 +507,50 @@ def _pairs_apart(shared: DataFrame, similarity: float) -> DataFrame:
 
 def forest(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the similar pairs, as positions: all pairs where
-    ``side`` is 0 for all, else those of a 0 and a 1."""
-    sizes = np.array([len(x) for x in sets])
-    rows = np.repeat(np.arange(len(sets)), sizes)
-    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ``side`` is 0 for all, else those of a 0 and a 1. Pairs are compared TILE by TILE
+    sets, so that memory follows the shingles and not the pairs."""
+    order = np.argsort(side, kind="stable")
+    sizes = np.array([len(sets[i]) for i in order])
+    rows = np.repeat(np.arange(len(order)), sizes)
+    _, token, times = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
     kept = times[token] > 1
-    rows, token = rows[kept], (np.cumsum(times > 1) - 1)[token[kept]]
-    order = np.argsort(token, kind="stable")
-    rows, token = rows[order], token[order]
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
-    both = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, int(token[-1]) + 1 if len(token) else 0, PIECE // 4):
-        lo, hi = np.searchsorted(token, [at, at + PIECE // 4])
-        present = np.zeros((len(sets), PIECE // 4), np.float32)
-        present[rows[lo:hi], token[lo:hi] - at] = 1
-        both += present[left] @ present[right].T
-    parent, out = list(range(len(sets))), []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    a, b = np.nonzero(both >= similarity * (sizes[left][:, None] + sizes[right][None, :] - both.astype(np.float64)))
-    for x, y in zip(left[a].tolist(), right[b].tolist()):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((x, y))
+    rows, token = rows[kept], token[kept]
+    label, out = np.arange(len(order)), []
+
+    def held(at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi = np.searchsorted(rows, [at, min(at + TILE, end)])
+        return rows[lo:hi] - at, token[lo:hi]
+
+    def present(own: np.ndarray, places: np.ndarray, at: int, width: int) -> np.ndarray:
+        here = (places >= at) & (places < at + width)
+        found = np.zeros((TILE, width), np.float32)
+        found[own[here], places[here] - at] = 1
+        return found
+
+    stop = int(np.count_nonzero(side == 0))
+    for i in range(0, stop, TILE):
+        one, tokens = held(i, stop)
+        for j in range(i if stop == len(order) else stop, len(order), TILE):
+            two, others = held(j, len(order))
+            common = np.intersect1d(tokens, others)
+            if not len(common):
+                continue
+            own = np.isin(tokens, common), np.isin(others, common)
+            at_one, at_two = (np.searchsorted(common, x[y]) for x, y in zip((tokens, others), own))
+            both = np.zeros((TILE, TILE), np.float32)
+            for at in range(0, len(common), PIECE // 4):
+                width = min(PIECE // 4, len(common) - at)
+                both += present(one[own[0]], at_one, at, width) @ present(two[own[1]], at_two, at, width).T
+            n, m = sizes[i : min(i + TILE, stop)], sizes[j : j + TILE]
+            both = both[: len(n), : len(m)]
+            close = (both >= similarity * (n[:, None] + m[None, :] - both.astype(np.float64))) & (both > 0)
+            for x in (np.flatnonzero(close.any(axis=1)) + i).tolist():
+                y = np.flatnonzero(close[x - i]) + j
+                y = y[label[y] != label[x]]
+                if len(y):
+                    far, which = np.unique(label[y], return_index=True)
+                    label[np.isin(label, far)] = label[x]
+                    out += [(int(order[x]), int(order[k])) for k in y[which]]
     return out
 
 

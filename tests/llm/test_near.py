@@ -196,3 +196,58 @@ def test_shared_passages_crowd_the_first_shingles(spark, docs_of, monkeypatch):
     want = brute_of(texts, pairs)
     groups = lambda f: sorted(sorted(i for i in range(len(texts)) if f(i) == r) for r in {f(i) for i in range(len(texts))})
     assert groups(lambda i: label.get(i, i)) == groups(lambda i: want[i])
+
+
+def _groups(n, pairs):
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, y in pairs:
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(n)]
+
+
+def test_forest_of_tiles_connects_what_all_similar_pairs_do(monkeypatch):
+    monkeypatch.setattr(near, "TILE", 5)
+    monkeypatch.setattr(near, "PIECE", 32)
+    rng = np.random.default_rng(7)
+    for turn in range(60):
+        bases = [rng.integers(1 << 62, size=int(rng.integers(1, 25))) for _ in range(3)]
+        sets = []
+        for _ in range(int(rng.integers(1, 30))):
+            own = bases[rng.integers(3)].copy()
+            own[rng.integers(len(own), size=int(rng.integers(0, 3)))] = rng.integers(1 << 62)
+            sets.append(np.unique(own))
+        side = np.zeros(len(sets), int) if turn % 2 else np.arange(len(sets)) % 2
+        two_sided = side.any()
+        similar = [
+            (x, y) for x in range(len(sets)) for y in range(x)
+            if (side[x] != side[y] or not two_sided)
+            and len(np.intersect1d(sets[x], sets[y])) >= 0.8 * len(np.union1d(sets[x], sets[y]))
+        ]
+        found = near.forest(sets, side, 0.8)
+        assert _groups(len(sets), found) == _groups(len(sets), similar)
+        assert set(map(frozenset, found)) <= set(map(frozenset, similar))
+
+
+def test_forest_of_a_large_group_of_short_copies_stays_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(1 << 62, size=20)
+    sets = []
+    for _ in range(3000):
+        own = base.copy()
+        own[rng.integers(20)] = rng.integers(1 << 62)
+        sets.append(np.unique(own))
+    tracemalloc.start()
+    found = near.forest(sets, np.zeros(len(sets), int), 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(sets) - 1
+    assert peak < 150 << 20
