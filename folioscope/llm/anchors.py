@@ -52,11 +52,12 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     sizes = np.diff(ends, prepend=0)
     counts = np.maximum(sizes - WINDOW + 1, 0)
     begins = ends - sizes
-    change = np.flatnonzero(least[1:] != least[:-1]) + 1
-    first = np.unique(np.concatenate([[0], change, begins, begins + counts]))
-    first = first[first < len(least)]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[1 : len(least)] = least[1:] != least[:-1]
+    edge[0] = edge[begins] = edge[begins + counts] = True
+    first = np.flatnonzero(edge[: len(least)])
     size = np.diff(first, append=len(least))
-    text = np.searchsorted(ends, first, "right")
+    text = np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(first, ends), prepend=0))
     real = first < (begins + counts)[text]
     first, size = first[real], size[real]
     parts = -(-size // wide)

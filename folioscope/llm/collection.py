@@ -22,6 +22,8 @@ STEP, HELD = 1 << 18, 16 << 20
 NONE = 0xFF
 #: Longest common prefix that is told apart.
 MOST = 254
+_BASE = np.random.default_rng(51).integers(1 << 63, dtype=np.uint64) | np.uint64(1)
+_TABLE = np.random.default_rng(52).integers(1 << 63, size=256, dtype=np.uint64)
 
 
 class _Column:
@@ -78,7 +80,7 @@ def _scan(files: tuple, n: int, newest: np.ndarray) -> tuple[np.ndarray, np.ndar
         fresh = np.zeros(size, bool)
         fresh[newest[done:stop] - at] = True
         order = np.argsort(symbol, kind="stable")
-        ordered, now = symbol[order], fresh[order]
+        now = fresh[order]
         count = np.bincount(symbol, minlength=256)
         begin = np.concatenate([[0], np.cumsum(count)[:-1]])
         present = np.flatnonzero(count)
@@ -88,7 +90,8 @@ def _scan(files: tuple, n: int, newest: np.ndarray) -> tuple[np.ndarray, np.ndar
         if count[NONE]:
             after_new[begin[NONE] :] = False
         needed = np.flatnonzero(now | after_new)
-        of, place = ordered[needed], order[needed]
+        place = order[needed]
+        of = symbol[place]
         first = needed == begin[of]
         before = order[needed - 1] + 1
         before[first] = 0
@@ -202,9 +205,65 @@ def suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return place[m:], prefix[m:]
 
 
+def _hashes(data: np.ndarray, window: int) -> np.ndarray:
+    """A hash of the ``window`` bytes at each place that has as many; equal bytes have
+    equal hashes."""
+    power = np.full(len(data), _BASE)
+    power[0] = 1
+    power = np.cumprod(power)
+    back = np.full(len(data), pow(int(_BASE), -1, 1 << 64), np.uint64)
+    back[0] = 1
+    back = np.cumprod(back)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * power)])
+    return (total[window:] - total[:-window]) * back[: len(data) - window + 1]
+
+
+def met(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(first, count)`` for each string: the windows from the first to the last whose
+    hash occurs again in the collection; others hold bytes that no other window has."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    counts = np.maximum(sizes - window + 1, 0)
+    begins = np.cumsum(sizes) - sizes
+    first, count = np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64)
+    if not counts.any():
+        return first, count
+    owner = np.repeat(np.arange(len(strings)), counts)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    found = _hashes(np.frombuffer(b"".join(strings), np.uint8), window)[begins[owner] + at]
+    order = np.argsort(found)
+    same = found[order][1:] == found[order][:-1]
+    again = np.zeros(len(owner), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    owner, at = owner[again], at[again]
+    edge = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
+    own = owner[edge[:-1]]
+    first[own] = at[edge[:-1]]
+    count[own] = at[edge[1:] - 1] - first[own] + 1
+    return first, count
+
+
 def window_minima(strings: list[bytes], marks: np.ndarray, window: int) -> list[np.ndarray]:
     """For each string and each of its windows, the least mark of the strings
-    that hold the same bytes as a window."""
+    that hold the same bytes as a window. The collection that is built has, of each
+    string, only the part whose windows may be in others, and equal parts once."""
+    first, count = met(strings, window)
+    some = np.flatnonzero(count)
+    parts = [strings[i][f : f + n + window - 1] for i, f, n in zip(some.tolist(), first[some].tolist(), count[some].tolist())]
+    names = {x: k for k, x in enumerate(sorted(set(parts)))}
+    which = np.fromiter((names[x] for x in parts), np.int64, len(parts))
+    least = np.full(len(names), np.iinfo(marks.dtype).max, marks.dtype)
+    np.minimum.at(least, which, marks[some])
+    found = _built_minima(list(names), least, window)
+    counts = np.maximum(np.fromiter(map(len, strings), np.int64, len(strings)) - window + 1, 0)
+    out = np.split(np.repeat(marks, counts), np.cumsum(counts)[:-1]) if len(strings) else []
+    for i, f, n, k in zip(some.tolist(), first[some].tolist(), count[some].tolist(), which.tolist()):
+        out[i][f : f + n] = found[k]
+    return out
+
+
+def _built_minima(strings: list[bytes], marks: np.ndarray, window: int) -> list[np.ndarray]:
+    """``window_minima`` of the whole strings, from the collection's sorted suffixes."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     counts = np.maximum(sizes - window + 1, 0)
     shift = np.cumsum(sizes - counts) - (sizes - counts)  # places before a string that begin no window

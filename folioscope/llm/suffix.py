@@ -151,25 +151,30 @@ def strings(table: DataFrame, met: DataFrame, groups: int) -> DataFrame:
         row = _only(block)
         data, _, (anchor, first, count, text) = _opened(row)
         ids = np.array([LAST if x is None else x for x in row["ids"].as_py()], np.int64)
-        own = np.unique(anchor)
+        order = np.argsort(anchor, kind="stable")  # texts rise within an anchor
+        ranked = anchor[order]
+        begin = np.flatnonzero(np.diff(ranked, prepend=~ranked[:1]))
+        own = ranked[begin]
         part = own // width
         shared = np.zeros(len(own), bool)
         for which, bits in zip(replies.column("part").to_pylist(), replies.column("bits").to_pylist()):
             a, b = np.searchsorted(part, np.array([which, which + 1], np.uint64))
             shared[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        order = np.argsort(anchor, kind="stable")  # texts rise within an anchor
-        again = (anchor[order][1:] == anchor[order][:-1]) & (text[order][1:] != text[order][:-1])
-        keep = np.flatnonzero(_inside(anchor, own[shared]) | _inside(anchor, np.unique(anchor[order][1:][again])))
+        if len(own):
+            texts = text[order]
+            shared |= texts[begin] != texts[np.append(begin[1:], len(order)) - 1]  # two texts of this block
+        keep = order[np.repeat(shared, np.diff(begin, append=len(order)))]
         raw, found = data.tobytes(), {}
-        for a, f, n, doc in zip(anchor[keep].tolist(), first[keep].tolist(), count[keep].tolist(), ids[text[keep]].tolist()):
-            name = (a, raw[f : f + n + WINDOW - 1])
-            low, high = found.get(name, (doc, doc))
-            found[name] = (min(low, doc), max(high, doc))
+        at = zip(first[keep].tolist(), (first[keep] + count[keep] + WINDOW - 1).tolist())
+        which = np.fromiter((found.setdefault(raw[x:y], len(found)) for x, y in at), np.int64, len(keep))
+        of, least, most = np.zeros(len(found), np.uint64), np.full(len(found), LAST), np.full(len(found), np.iinfo(np.int64).min)
+        of[which] = anchor[keep]  # a string's bytes tell its anchor
+        np.minimum.at(least, which, ids[text[keep]])
+        np.maximum.at(most, which, ids[text[keep]])
         return pa.table(
             [
-                pa.array(np.full(len(found), key[0].as_py(), np.int64)), pa.array([k[0] for k in found], pa.int64()),
-                pa.array([k[1] for k in found], pa.binary()), pa.array([v[0] for v in found.values()], pa.int64()),
-                pa.array([v[1] for v in found.values()], pa.int64()),
+                pa.array(np.full(len(found), key[0].as_py(), np.int64)), pa.array(of.view(np.int64)),
+                pa.array(list(found), pa.binary()), pa.array(least), pa.array(most),
             ],
             schema=schema,
         )
@@ -187,12 +192,18 @@ def minima(found: DataFrame, together: int = TOGETHER, hot: int = HOT) -> DataFr
         group = group.sort_by("string")
         least, most = (group.column(c).to_numpy() for c in ("least", "most"))
         texts = group.column("string").to_pylist()
-        low = [x[:1] if (x == x[0]).all() else x for x in window_minima(texts, least, WINDOW)]
-        out = [i for i in range(len(texts)) if low[i].min() < most[i]]
+        low = window_minima(texts, least, WINDOW)
+        every, sizes = np.concatenate(low), np.fromiter(map(len, low), np.int64, len(low))
+        begin = np.cumsum(sizes) - sizes
+        smallest, largest = np.minimum.reduceat(every, begin), np.maximum.reduceat(every, begin)
+        out = np.flatnonzero(smallest < most)
+        told = np.where(smallest == largest, 1, sizes)[out]
+        ends = np.cumsum(told)
+        at = np.repeat(begin[out], told) + np.arange(told.sum()) - np.repeat(ends - told, told)
         return pa.table({
-            "anchor": group.column("anchor").take(pa.array(out, pa.int64())),
-            "name": group.column("name").take(pa.array(out, pa.int64())),
-            "minima": pa.array([low[i] for i in out], pa.list_(pa.int64())),
+            "anchor": group.column("anchor").take(pa.array(out)),
+            "name": group.column("name").take(pa.array(out)),
+            "minima": pa.LargeListArray.from_arrays(pa.array(np.append(0, ends)), pa.array(every[at])).cast(pa.list_(pa.int64())),
         })
 
     name = F.xxhash64("string").alias("name")
@@ -238,28 +249,39 @@ def cut_blocks(table: DataFrame, results: DataFrame) -> DataFrame:
         data, ends, (anchor, first, count, text) = _opened(row)
         given = row["ids"].as_py()
         ids = np.array([LAST if x is None else x for x in given], np.int64)
-        low = dict(zip(replies.column("name").to_pylist(), replies.column("minima").to_pylist()))
-        raw, gone = data.tobytes(), np.zeros(len(data) + 1, np.int64)
-        for i in np.flatnonzero(_inside(anchor, np.unique(replies.column("anchor").to_numpy().astype(np.uint64)))):
-            f, n = int(first[i]), int(count[i])
-            name = xxhash.xxh64_intdigest(raw[f : f + n + WINDOW - 1], 42)
-            found = low.get(name - (1 << 64) if name >> 63 else name)
-            if found:
-                at = f + (np.flatnonzero(np.array(found) < ids[text[i]]) if len(found) > 1 else np.arange(n if found[0] < ids[text[i]] else 0))
-                gone[at] += 1
-                gone[at + WINDOW] -= 1
-        out = np.cumsum(gone[:-1]) > 0
+        names, lists = replies.column("name").to_numpy(), replies.column("minima").combine_chunks()
+        raw, starts = data.tobytes(), np.zeros(len(data), bool)
+        some = np.flatnonzero(_inside(anchor, np.unique(replies.column("anchor").to_numpy().astype(np.uint64))))
+        if len(some):
+            at = zip(first[some].tolist(), (first[some] + count[some] + WINDOW - 1).tolist())
+            name = np.fromiter((xxhash.xxh64_intdigest(raw[x:y], 42) for x, y in at), np.uint64, len(some)).view(np.int64)
+            order = np.argsort(names)
+            place = np.minimum(np.searchsorted(names[order], name), len(names) - 1)
+            reply = order[place]
+            hit = names[reply] == name
+            some, reply = some[hit], reply[hit]
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            run = np.repeat(np.arange(len(some)), count[some])
+            step = np.arange(len(run)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+            each = np.diff(offsets)[reply] > 1  # else one number stands for all windows
+            low = values[offsets[reply][run] + np.where(each[run], step, 0)]
+            gone = low < ids[text[some]][run]
+            starts[(first[some][run] + step)[gone]] = True
+        before = np.concatenate([np.zeros(WINDOW, np.int64), np.cumsum(starts)])
+        out = before[WINDOW:] > before[:-WINDOW]
         begin, spans, kept = 0, [], []
         for end in ends.tolist():
             own = out[begin:end]
-            edge = np.flatnonzero(np.diff(own, prepend=False, append=False)).tolist()
-            spans.append([{"start": a, "stop": b} for a, b in zip(edge[::2], edge[1::2])])
+            edge = np.flatnonzero(np.diff(own, prepend=False, append=False))
+            spans.append(edge)
             kept.append(data[begin:end][~own].tobytes())
             begin = end
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        edges = np.concatenate(spans).reshape(-1, 2)
+        pair = pa.StructArray.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["start", "stop"])
+        upto = np.append(0, np.cumsum([len(x) // 2 for x in spans])).astype(np.int32)
         return pa.table({
             "doc_id": pa.array(given, pa.int64()), "n_bytes": pa.array(np.diff(ends, prepend=0), pa.int64()),
-            "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary()),
+            "spans": pa.ListArray.from_arrays(pa.array(upto), pair), "kept": pa.array(kept, pa.binary()),
         })
 
     pairs = table.groupBy("block").cogroup(results.groupBy("block"))

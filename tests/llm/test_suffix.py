@@ -76,3 +76,27 @@ def test_spans_tell_what_goes(spark, docs_of):
     passage = "0123456789" * 6
     got = {r.doc_id: r for r in suffix.remove_repeats(docs_of([(1, passage), (2, "ab" + passage + "cd")])).collect()}
     assert [(s.start, s.stop) for s in got[2].spans] == [(2, 62)] and bytes(got[2].kept) == b"abcd"
+
+
+def test_only_parts_that_may_repeat_are_built(monkeypatch):
+    built, whole = [], collection.build
+    monkeypatch.setattr(collection, "build", lambda strings: built.append(strings) or whole(strings))
+    rng = random.Random(5)
+    alone = [bytes(rng.choices(b"abcd", k=40)) for _ in range(50)]
+    low = collection.window_minima([*alone, b"x" * 5 + b"0123456789" + b"y" * 5, b"z" * 4 + b"0123456789"], np.arange(52), 10)
+    assert built == [[b"0123456789"]]
+    assert [x.tolist() for x in low[50:]] == [[50] * 11, [51] * 4 + [50]]
+    assert all((x == i).all() for i, x in enumerate(low[:50]))
+
+
+def test_window_minima_equal_brute_force():
+    rng = random.Random(6)
+    for turn in range(200):
+        strings = [bytes(rng.choices(b"ab\x00", k=rng.randrange(0, 30))) for _ in range(rng.randrange(0, 12))]
+        marks = np.array([rng.randrange(9) for _ in strings], np.int64)
+        least = {}
+        for s, mark in zip(strings, marks.tolist()):
+            for i in range(len(s) - 4):
+                least[s[i : i + 5]] = min(least.get(s[i : i + 5], mark), mark)
+        low = collection.window_minima(strings, marks, 5)
+        assert [x.tolist() for x in low] == [[least[s[i : i + 5]] for i in range(len(s) - 4)] for s in strings]
