@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope import schemas
-from folioscope.operators.ordering import numbered, running_total
+from folioscope.operators.ordering import enumerated, numbered, running_total
 from folioscope.plans.corpus import run_corpus
 from folioscope.streaming import requests
 from folioscope.streaming.admission import AdmissionStream, admit
@@ -217,3 +217,16 @@ def test_refresh_reads_what_the_batch_touches(spark, tmp_path):
     one = target.earlier(spark.createDataFrame([("s7",)], "paper_id STRING"), "papers", 1)
     assert len(one.inputFiles()) == 1 < 50 < len(whole) and [r.title for r in one.collect()] == ["Stored Paper Number 7 of Many"]
     assert target.earlier(spark.createDataFrame([("s7",)], "paper_id STRING"), "papers", 0).count() == 0
+
+
+def test_rows_are_not_moved_again_for_their_numbers(spark):
+    """The sizes of partitions, one row each, go to the rows and not the rows to them."""
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.lit("x" * 20).alias("load"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = enumerated(df, ["k"], "n")
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert all(r.k == r.n for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
