@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import discard, written
+from folioscope.llm.common import discard, fresh_path, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -52,9 +53,9 @@ KEYS, PICKED = 24, 3
 #: in, and how many are put last in the order. They choose an order only.
 LOOKED, OFTEN, LAST = 8_192, 4, 65_536
 #: Texts outside its largest group that share a first shingle, above which all that
-#: share it are compared in blocks, shingles of a block, and sets of a block whose
-#: pairs are counted at once.
-HOT, HELD, TILE = 32, 250_000, 1_024
+#: share it are compared in blocks, shingles of a block, sets of a block whose
+#: pairs are counted at once, and pairs of blocks that a task compares.
+HOT, HELD, TILE, CELLS = 32, 250_000, 1_024, 8
 
 #: Hash slots by which texts that a join does not need are told before it.
 SLOTS = 1 << 20
@@ -407,7 +408,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = more[~np.isin(more, late)]
         changed = written(holding(sketch.select("doc_id", "tokens"), more.view(np.int64)), "changed")
         again = among(once, changed).mapInArrow(sketched(np.concatenate([late, more]), False), SKETCH).drop("keys")
-        out = written(sketch.join(changed, "doc_id", "left_anti").select("doc_id", "n", "tokens").union(again), "settled")
+        out = written(without(sketch.drop("keys"), changed).union(again), "settled")
         discard(touched, changed)
         return out
 
@@ -449,7 +450,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = named.union(named.select("root", "root")).distinct()
     own = one_each(among(rows, blocks.select("doc_id"))).mapInArrow(sets, "doc_id bigint, own array<bigint>")
     held = written(own.join(blocks, "doc_id"), "hot")
-    dense = written(_cells(held, similarity), "dense")
+    dense = _cells(held, similarity)
     discard(held, shared)
     return found.union(rest).union(dense).union(same.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
 
@@ -457,9 +458,17 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def among(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """The rows of ``texts`` whose id is in ``asked``. Texts whose id shares no hash
     slot with any of these, of which there are ``SLOTS``, are not moved."""
+    return _by_slot(texts, asked, "left_semi").join(asked, "doc_id", "left_semi")
+
+
+def without(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The other rows of ``texts``, most of which are not moved either."""
+    return _by_slot(texts, asked, "left_anti").union(_by_slot(texts, asked, "left_semi").join(asked, "doc_id", "left_anti").select(*texts.columns))
+
+
+def _by_slot(texts: DataFrame, asked: DataFrame, how: str) -> DataFrame:
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
-    near = texts.select("*", slot).join(F.broadcast(asked.select(slot).distinct()), "slot", "left_semi").drop("slot")
-    return near.join(asked, "doc_id", "left_semi")
+    return texts.select("*", slot).join(F.broadcast(asked.select(slot).distinct()), "slot", how).select(*texts.columns)
 
 
 def _apart_yet(sketch: DataFrame, joined: DataFrame) -> DataFrame:
@@ -467,15 +476,19 @@ def _apart_yet(sketch: DataFrame, joined: DataFrame) -> DataFrame:
     groups ``joined`` so far share, with the text's group ``root``, the
     largest group ``main``, the smallest id ``least`` and the number of texts outside
     the largest group, ``strays``."""
+    group = joined.select(F.col("point").alias("doc_id"), "root")
+    # a shingle's rows move once, as narrow ones; most go where they arrive
+    own = sketch.join(group, "doc_id", "left").select("doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.posexplode("tokens").alias("at", "token"))
+    own = own.select("token", "doc_id", "root", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("bigint")).alias("place"))
+    of = W.partitionBy("token")
+    several = own.withColumn("low", F.min("root").over(of)).withColumn("high", F.max("root").over(of)).where("low < high")
+    place = F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).alias("at")
+    met = written(several.select("doc_id", *place, "root", "token"), "met")
     heavy = joined.groupBy("root").agg(F.count("*").alias("weight"))
-    group = joined.join(heavy, "root").select(F.col("point").alias("doc_id"), "root", "weight")
-    own = sketch.join(group, "doc_id", "left").select(
-        "doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.coalesce("weight", F.lit(0)).alias("weight"), F.posexplode("tokens").alias("at", "token")
-    )
-    several = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    met = written(own.join(several, "token", "left_semi"), "met")
-    main = met.groupBy("token").agg(F.max(F.struct("weight", "root"))["root"].alias("main"), F.min("doc_id").alias("least"))
-    met = met.drop("weight").join(main, "token")
+    weight = F.coalesce("weight", F.lit(0)).alias("weight")
+    weighed = met.join(heavy, "root", "left").select("token", "doc_id", F.struct(weight, "root").alias("group"))
+    main = weighed.groupBy("token").agg(F.max("group")["root"].alias("main"), F.min("doc_id").alias("least"))
+    met = met.join(main, "token")
     strays = met.where("root <> main").groupBy("token").agg(F.count("*").alias("strays"))
     shared = written(met.join(strays, "token"), "shared")
     discard(met)
@@ -521,9 +534,9 @@ def forest(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[
         lo, hi = np.searchsorted(rows, [at, min(at + TILE, end)])
         return rows[lo:hi] - at, token[lo:hi]
 
-    def present(own: np.ndarray, places: np.ndarray, at: int, width: int) -> np.ndarray:
+    def present(own: np.ndarray, places: np.ndarray, at: int, width: int, height: int) -> np.ndarray:
         here = (places >= at) & (places < at + width)
-        found = np.zeros((TILE, width), np.float32)
+        found = np.zeros((height, width), np.float32)
         found[own[here], places[here] - at] = 1
         return found
 
@@ -537,12 +550,11 @@ def forest(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[
                 continue
             own = np.isin(tokens, common), np.isin(others, common)
             at_one, at_two = (np.searchsorted(common, x[y]) for x, y in zip((tokens, others), own))
-            both = np.zeros((TILE, TILE), np.float32)
+            n, m = sizes[i : min(i + TILE, stop)], sizes[j : j + TILE]
+            both = np.zeros((len(n), len(m)), np.float32)
             for at in range(0, len(common), PIECE // 4):
                 width = min(PIECE // 4, len(common) - at)
-                both += present(one[own[0]], at_one, at, width) @ present(two[own[1]], at_two, at, width).T
-            n, m = sizes[i : min(i + TILE, stop)], sizes[j : j + TILE]
-            both = both[: len(n), : len(m)]
+                both += present(one[own[0]], at_one, at, width, len(n)) @ present(two[own[1]], at_two, at, width, len(m)).T
             close = (both >= similarity * (n[:, None] + m[None, :] - both.astype(np.float64))) & (both > 0)
             for x in (np.flatnonzero(close.any(axis=1)) + i).tolist():
                 y = np.flatnonzero(close[x - i]) + j
@@ -554,29 +566,72 @@ def forest(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[
     return out
 
 
+def _classes(n: Column, similarity: float) -> Column:
+    """Classes of set sizes: similar sets are in the same one or in neighbours."""
+    return F.floor(F.log(n) / (max(-math.log(similarity), 1e-6) + 1e-9))
+
+
 def _cells(own: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: links that connect what all similar pairs inside each ``root`` do,
-    from ``doc_id, root, own``. Every two blocks of a root meet in one task."""
-    slots = own.groupBy("root").agg(F.ceil(F.sum(F.size("own")) / HELD).alias("slots"))
-    dealt = own.join(slots, "root").withColumn("slot", F.pmod(F.xxhash64("doc_id"), "slots"))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)).alias("other")
-    met = dealt.select("root", "doc_id", "own", "slot", other).select(
-        "root", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "doc_id", "own"
-    )
-
-    def solve(key: tuple, cell: pa.Table) -> pa.Table:
-        ids, lists = cell.column("doc_id").to_numpy(), cell.column("own").combine_chunks()
+    from ``doc_id, root, own``. A root of up to HELD shingles is one block. Others are
+    cut into blocks by size of set, every two of the same or of neighbouring classes
+    meet in one task. Blocks are files that tasks read: a set is moved and stored once,
+    however many blocks its own one meets."""
+    size = F.size("own")
+    large = written(own.groupBy("root").agg(F.sum(size).alias("shingles")).where(F.col("shingles") > HELD).select("root"), "large")
+
+    def compared(ids: np.ndarray, lists: pa.ListArray, side: np.ndarray) -> pa.RecordBatch:
         ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        side = (cell.column("slot").to_numpy() != key[1].as_py()).astype(int)
-        whole = key[1].as_py() == key[2].as_py()
-        if whole or (side.any() and not side.all()):
-            pairs = forest([values[x:y] for x, y in zip(ends, ends[1:])], side, similarity)
-        else:
-            pairs = []
+        pairs = forest([values[x:y] for x, y in zip(ends, ends[1:])], side, similarity)
         pairs = np.array(pairs, np.int64).reshape(-1, 2)
-        return pa.table({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+        return pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], ["a", "b"])
 
-    return met.groupBy("root", "i", "j").applyInArrow(solve, "a bigint, b bigint")
+    def solve(key: tuple, root: pa.Table) -> pa.Table:
+        ids = root.column("doc_id").to_numpy()
+        return pa.Table.from_batches([compared(ids, root.column("own").combine_chunks(), np.zeros(len(ids), int))])
+
+    small = own.join(large, "root", "left_anti").groupBy("root").applyInArrow(solve, "a bigint, b bigint")
+    if large.isEmpty():
+        out = written(small, "dense")
+        discard(large)
+        return out
+
+    classed = own.join(large, "root").withColumn("class", _classes(size, similarity))
+    slots = classed.groupBy("root", "class").agg(F.ceil(F.sum(size) / HELD).alias("slots"))
+    dealt = classed.join(written(slots, "slots"), ["root", "class"]).withColumn("slot", F.pmod(F.xxhash64("doc_id"), "slots"))
+    folder = fresh_path(own.sparkSession, "blocks")
+    blocks = dealt.select("doc_id", "own", F.concat_ws("_", "root", "class", "slot").alias("block"))
+    blocks.repartition("block").sortWithinPartitions("block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
+    one = written(dealt.select("root", "class", "slot").distinct(), "slots")
+    two = one.select("root", F.col("class").alias("other"), F.col("slot").alias("with"))
+    cells = one.join(two, "root").where("other = class + 1 or (other = class and slot <= with)")
+    names = F.concat_ws("_", "root", "class", "slot").alias("one"), F.concat_ws("_", "root", "other", "with").alias("two")
+    cells = written(cells.select(*names), "cells")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import dataset, fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        held = {}
+
+        def read(block: str) -> pa.Table:
+            if block not in held:
+                held[block] = dataset.dataset(f"{base}/block={block}", filesystem=store, format="parquet").to_table(["doc_id", "own"])
+            return held[block]
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for block in held.keys() - {x, y}:
+                    del held[block]
+                parts = [read(x)] if x == y else [read(x), read(y)]
+                side = np.repeat(np.arange(len(parts)), [p.num_rows for p in parts])
+                cell = pa.concat_tables(parts).combine_chunks()
+                yield compared(cell.column("doc_id").to_numpy(), cell.column("own").combine_chunks(), side)
+
+    tasks = cells.repartition(-(-cells.count() // CELLS)).sortWithinPartitions("one", "two")
+    out = written(small.union(tasks.mapInArrow(meet, "a bigint, b bigint")), "dense")
+    discard(large, one, cells, own.sparkSession.read.schema("doc_id bigint").parquet(folder))
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

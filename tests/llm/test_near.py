@@ -251,3 +251,34 @@ def test_forest_of_a_large_group_of_short_copies_stays_small():
     tracemalloc.stop()
     assert len(found) == len(sets) - 1
     assert peak < 150 << 20
+
+
+def test_large_groups_are_compared_by_blocks_stored_once(spark, monkeypatch):
+    """Sets of a large group lie in one block each, however many blocks they meet."""
+    monkeypatch.setattr(near, "HELD", 300)
+    monkeypatch.setattr(near, "discard", lambda *tables: None)
+    folders = []
+    monkeypatch.setattr(near, "fresh_path", lambda spark, what, make=near.fresh_path: folders.append(make(spark, what)) or folders[-1])
+    rng = np.random.default_rng(9)
+    bases = [np.unique(rng.integers(1 << 62, size=n)) for n in (10, 12, 15, 30, 31, 60)]
+    sets, roots = [], []
+    for i in range(160):
+        own = bases[i % 6].copy()
+        own[rng.integers(len(own), size=int(rng.integers(0, 4)))] = rng.integers(1 << 62)
+        sets.append(np.unique(own))
+        roots.append(5 if i < 150 else 7)  # the second one is small
+    rows = [(i, own.tolist(), root) for i, (own, root) in enumerate(zip(sets, roots))]
+    found = [(r.a, r.b) for r in near._cells(spark.createDataFrame(rows, "doc_id long, own array<long>, root long"), 0.8).collect()]
+    alike = lambda x, y: len(np.intersect1d(sets[x], sets[y])) >= 0.8 * len(np.union1d(sets[x], sets[y]))
+    similar = [(x, y) for x in range(len(sets)) for y in range(x) if roots[x] == roots[y] and alike(x, y)]
+    assert _groups(len(sets), found) == _groups(len(sets), similar)
+    assert set(map(frozenset, found)) <= set(map(frozenset, similar))
+    stored = spark.read.parquet(folders[0])
+    assert stored.count() == stored.select("doc_id").distinct().count() == 150
+    assert stored.select("block").distinct().count() > 10
+
+
+def test_similar_sets_are_in_neighbouring_classes(spark):
+    got = spark.range(1, 3000).select("id", near._classes(F.col("id"), 0.8).alias("c")).collect()
+    of = {r.id: r.c for r in got}
+    assert all(0 <= of[min(2999, n * 5 // 4)] - of[n] <= 1 for n in of) and of[2999] > 20
