@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import discard, fresh_path, written
+from folioscope.llm.common import batches_of, discard, fresh_path, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -42,8 +42,8 @@ SEED = 42
 SAMPLE, SHARD = 32_768, 4_096
 #: Pairs that are compared at once without splitting further.
 BLOCK = 1 << 20
-#: Shingles whose bits are counted at once.
-PIECE = 1 << 14
+#: Shingles whose bits are counted at once, and texts that a worker gets at once.
+PIECE, TEXTS = 1 << 14, 1_024
 
 #: Similarity of word shingle sets, in words, above which texts are near copies;
 #: keys of a text, and shingles that make a key.
@@ -638,7 +638,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows whose id is the smallest of their group, columns as given. A group
     is connected by fingerprints within ``radius`` bits and by ``similar_links``.
     Rows with a null id have no name to be found by and all stay."""
-    near = near_duplicates(docs, id_col, text_col, radius=radius).where("doc_id <> component_id")
-    edges = near.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    found = roots(edges.union(similar_links(docs, id_col, text_col)))
+    with batches_of(docs.sparkSession, TEXTS):
+        near = near_duplicates(docs, id_col, text_col, radius=radius).where("doc_id <> component_id")
+        edges = near.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+        found = roots(edges.union(similar_links(docs, id_col, text_col)))
     return docs.join(found.select(F.col("point").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
