@@ -187,6 +187,25 @@ def test_pairs_of_concepts_are_moved_once(spark, monkeypatch):
     assert recs == {p: v for p, v in brute_recommend(rows, 3).items() if v}
 
 
+@pytest.mark.parametrize("sets", [4, 4096])
+def test_lists_that_go_to_papers_are_narrow(spark, monkeypatch, sets):
+    """Titles repeat near and far, so that distances fit a byte and do not."""
+    monkeypatch.setattr(overlap, "RANGE", 64)
+    monkeypatch.setattr(overlap, "SETS", sets)
+    rows = [{"id": f"p{i:03d}", "t": f"T{i % 140 if i % 3 else i // 2}", "m": [f"a{i % 41}", f"b{i % 37}", f"c{i * i % 29}", "all"], "d": []} for i in range(290)]
+    concepts = analysis.paper_concepts(knowledge(spark, rows))
+    profiles, n_popular, tasks, busy = overlap._profiles(concepts, overlap.F.col("concept"), 8, 0, 8)
+    plan = overlap._pairs(profiles, n_popular, tasks, busy)._jdf.queryExecution().optimizedPlan()
+    while "Repartition" not in plan.nodeName():
+        plan = plan.children().head()
+    sent = plan.schema().catalogString()
+    assert n_popular == 1 and "low:array<smallint>" in sent and "step:array<tinyint>" in sent and "theirs:array<tinyint>" in sent
+    recs = {}
+    for r in overlap.recommend(concepts, 3, popular=8, narrow=0).orderBy("paper_id", "position").collect():
+        recs.setdefault(r.paper_id, []).append((r.recommended_id, r.shared))
+    assert recs == {p: v for p, v in brute_recommend(rows, 3).items() if v}
+
+
 def test_hash_tells_names_apart(spark, monkeypatch):
     names = spark.createDataFrame([("a",), ("b",), ("cc",)], "concept string")
     hashed, tried = overlap.F.xxhash64, []
