@@ -227,6 +227,22 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     assert overlap._spread(rows, 300, "id") is rows
 
 
+def test_shared_names_move_as_lists(spark):
+    concepts = spark.createDataFrame(
+        [("p", "b"), ("p", "a"), ("p", "a"), ("p", None), ("q", "a"), ("q", "b"), ("q", "c"), ("q", None), ("r", "c"), (None, "a")],
+        "paper_id string, concept string")
+    best = spark.createDataFrame(
+        [("p", 1, "q"), ("q", 1, "p"), ("q", 2, "r"), ("r", 1, "q"), ("r", 2, "q"), (None, 1, "p"), ("p", 2, None), ("p", 3, "r")],
+        "paper_id string, position int, recommended_id string")
+    named = overlap.shared_concepts(best, concepts)
+    assert named.columns == ["paper_id", "recommended_id", "position", "shared_concepts"]
+    assert {(r.paper_id, r.position): (r.recommended_id, r.shared_concepts) for r in named.collect()} == {
+        ("p", 1): ("q", ["a", "b"]), ("q", 1): ("p", ["a", "b"]), ("q", 2): ("r", ["c"]), ("r", 1): ("q", ["c", "c"]), ("r", 2): ("q", ["c", "c"]),
+        (None, 1): ("p", None), ("p", 2): (None, None), ("p", 3): ("r", None)}
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join Inner, .*concept#", plan) and "array_intersect" in plan
+
+
 def test_recommend_details(spark):
     rows = [{"t": "A", "d": ["Cora", "Citeseer"]}, {"t": "B", "d": ["Cora"]}, {"t": "C", "d": ["X"]}]
     k = knowledge(spark, rows)
