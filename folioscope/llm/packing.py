@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import threading
 from collections.abc import Iterator
 from itertools import accumulate, chain, pairwise
 
@@ -26,6 +27,8 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SHARD = 1024
 #: Chunks of text whose ids a worker remembers, in each of two generations.
 MEMORY = 400_000
+#: Seconds without a task after which a worker forgets them.
+IDLE = 5
 #: Texts are looked at in parts of about so many bytes.
 PART = 4 << 20
 
@@ -40,7 +43,8 @@ class Ids:
     The tokenizer's pattern never crosses a space that follows another kind of
     character, so a text is cut there and a chunk met before is not encoded again.
     Chunks are kept in two generations: a full one becomes the old one, from which
-    those that occur again move on, so frequent chunks are never forgotten."""
+    those that occur again move on, so frequent chunks are never forgotten by a worker
+    at work. One at rest holds no memory beside later steps."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,8 +55,27 @@ class Ids:
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.lock = threading.Lock()
+        self.idle: threading.Timer | None = None
+
+    def begin(self) -> None:
+        if self.idle:
+            self.idle.cancel()
+
+    def end(self) -> None:
+        self.idle = threading.Timer(IDLE, self.forget)
+        self.idle.daemon = True
+        self.idle.start()
+
+    def forget(self) -> None:
+        with self.lock:
+            self.known, self.old = {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        with self.lock:
+            return self._encoded(texts)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         cut = [_CUT.split(t) if _ODD.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
         if len(self.known) > MEMORY:
             self.known, self.old = {}, self.known
@@ -91,6 +114,13 @@ def tokenised(docs: DataFrame, tokenizer: str, shards: int, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ids_of(tokenizer)
+        own.begin()
+        try:
+            yield from pieces_of(own, batches)
+        finally:
+            own.end()
+
+    def pieces_of(own: Ids, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, width = np.array([END], own.kind).tobytes(), np.dtype(own.kind).itemsize
         step = LENGTH * width
         for b in batches:

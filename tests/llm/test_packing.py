@@ -109,3 +109,21 @@ def test_memory_of_two_generations(tokenizer, monkeypatch):
         assert np.frombuffer(ids.encode([t])[0], ids.kind).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
         assert "often" in ids.known and " often" in ids.known
     assert len(ids.known) + len(ids.old) < 30
+
+
+def test_a_worker_at_rest_forgets(monkeypatch):
+    import time
+
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "IDLE", 0.05)
+    own = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    first = own.encode(["some words and some more"])
+    own.end()
+    own.begin()
+    time.sleep(0.2)
+    assert own.known  # a task has begun
+    own.end()
+    time.sleep(0.3)
+    assert not own.known and not own.old
+    assert own.encode(["some words and some more"]) == first
